@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Bits of the fixed-size membership filter (512 KB); beyond what it can tell apart it only passes more rows.
 FILTER_BITS = 1 << 22
+#: Members up to which a bucket is compared throughout.
+SMALL = 16
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -83,22 +85,29 @@ def components(edges: DataFrame) -> DataFrame:
 def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold: float, tighter: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
     """Edges ``(src, dst)`` whose Jaccard similarity is at least ``threshold``, among members of one bucket.
 
-    ``buckets(key, id, n)``: ids of different texts, n the size of the set. ``grams``
-    takes a frame of ids and returns ``(id, n, grams array<long>)`` for them.
-    ``tighter``: functions that deal such a frame into buckets with ever longer keys.
+    ``buckets(key, id)``: ids of different texts. ``grams`` takes a frame of ids and returns
+    ``(id, grams array<long>)`` for them. ``tighter``: functions that deal such a frame into
+    buckets with ever longer keys.
 
     Every member is compared with one centre of its bucket, another one in each band, so
-    the pairs grow with the members and not with their square. Where a bucket of three or
-    more holds members unlike its centre, its members are dealt again by longer keys,
-    which only closer sets share, and compared in the same way; after the longest keys,
-    what is unlike its centre forms a bucket of its own, until none is left.
+    the pairs grow with the members and not with their square. Where a bucket holds members
+    unlike its centre, a small one (``SMALL`` members at most, so no member meets more) is
+    compared throughout; the members of a large one are dealt again by longer keys, which
+    only closer sets share, and compared in the same way. After the longest keys, what is
+    unlike its centre forms a bucket of its own, until none is left.
     """
     from pyspark.sql import Window
 
     def stars(rows: DataFrame) -> DataFrame:
         """Members beside their bucket's centre; the running first value keeps no bucket in memory."""
         by = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("c", F.first(F.struct("id", "n")).over(by)).where("id <> c.id").select("key", "id", "n", F.col("c.id").alias("c"), F.col("c.n").alias("cn"))
+        return rows.withColumn("c", F.first("id").over(by)).where("id <> c")
+
+    def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        left, right = sets.select("id", F.col("grams").alias("ga")), sets.select(F.col("id").alias("c"), F.col("grams").alias("gb"))
+        lo, hi = F.least(F.size("ga"), F.size("gb")), F.greatest(F.size("ga"), F.size("gb"))
+        both = F.when(lo >= hi * threshold, F.size(F.array_intersect("ga", "gb"))).otherwise(0)  # the sizes alone rule many out
+        return pairs.join(left, "id").join(right, "c").where(both / (lo + hi - both) >= threshold).select("id", "c")
 
     edges: list[DataFrame] = []
     sets, rows, level = None, buckets, 0
@@ -106,20 +115,21 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
         cand = checkpoint(stars(rows))
         if sets is None:
             sets = checkpoint(grams(cand.select("id").unionByName(cand.select(F.col("c").alias("id"))).distinct()))
-        pairs = cand.where(F.least("n", "cn") >= F.greatest("n", "cn") * threshold).select("id", "c").distinct()
-        left, right = sets.select("id", F.col("grams").alias("ga")), sets.select(F.col("id").alias("c"), F.col("grams").alias("gb"))
-        both = F.size(F.array_intersect("ga", "gb"))
-        like = pairs.join(left, "id").join(right, "c").where(both / (F.size("ga") + F.size("gb") - both) >= threshold).select("id", "c")
-        edges.append(like := checkpoint(like))
-        judged = cand.select("key", "id", "n", "c").join(like.withColumn("like", F.lit(1)), ["id", "c"], "left").select("key", "id", "n", F.coalesce("like", F.lit(0)).alias("like"))
-        open_keys = judged.groupBy("key").agg(F.count("*").alias("m"), F.sum("like").alias("s")).where("m > 1 and s < m").select("key")
+        like = checkpoint(alike(cand.select("id", "c").distinct(), sets))
+        edges.append(like)
+        judged = cand.join(like.withColumn("like", F.lit(1)), ["id", "c"], "left").select("key", "id", F.coalesce("like", F.lit(0)).alias("like"))
+        found = judged.groupBy("key").agg(F.count("*").alias("m"), F.sum("like").alias("s")).where("m > 1 and s < m").select("key", "m")
+        judged = checkpoint(judged.join(found, "key").select("key", "id", "like", "m"))
+        few = judged.where(F.col("m") <= SMALL).select("key", "id")
+        pairs = few.join(few.select("key", F.col("id").alias("c")), "key").where("id > c").select("id", "c").distinct()
+        edges.append(alike(pairs, sets))
+        many = judged.where(F.col("m") > SMALL)
         if level < len(tighter):
-            rest = judged.join(open_keys, "key", "left_semi").select("id").distinct()
-            rest = sets.join(rest, "id", "left_semi")
+            sets = checkpoint(sets.join(many.select("id").distinct(), "id", "left_semi"))
+            rows, done = tighter[level](sets), sets.isEmpty()
         else:
-            rest = judged.where("like = 0").join(open_keys, "key", "left_semi").select("key", "id", "n")
-        rest = checkpoint(rest)
-        if rest.isEmpty():
-            return reduce(DataFrame.unionByName, edges).select(F.col("id").alias("src"), F.col("c").alias("dst"))
-        rows = tighter[level](rest) if level < len(tighter) else rest
+            rows = checkpoint(many.where("like = 0").select("key", "id"))
+            done = rows.isEmpty()
         level += 1
+        if done:
+            return checkpoint(reduce(DataFrame.unionByName, edges).select(F.col("id").alias("src"), F.col("c").alias("dst")))

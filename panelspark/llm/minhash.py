@@ -66,22 +66,22 @@ def sketch(docs: DataFrame) -> DataFrame:
 
 
 def tight(rows: int, count: int):
-    """Deals ``(id, n, grams)`` into buckets by ``count`` keys of ``rows`` coordinates each."""
+    """Deals ``(id, grams)`` into buckets by ``count`` keys of ``rows`` coordinates each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, b.num_rows, 32):
                 part = b.slice(k, 32)
-                sets = [np.asarray(x.values if hasattr(x, "values") else x, np.int64).view(np.uint64) for x in part.column(2)]
+                sets = [np.asarray(x.values if hasattr(x, "values") else x, np.int64).view(np.uint64) for x in part.column(1)]
                 el, own = _stack(sets)
                 keys = bands(darts(el + np.uint64(rows), np.ones(len(el)), own, len(sets), rows * count), rows)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(list(keys))], ["id", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([part.column(0), _lists(list(keys))], ["id", "keys"])
 
-    return lambda sets: sets.select("id", "n", "grams").mapInArrow(run, "id long, n int, keys array<long>").select(F.explode("keys").alias("key"), "id", "n")
+    return lambda sets: sets.select("id", "grams").mapInArrow(run, "id long, keys array<long>").select(F.explode("keys").alias("key"), "id")
 
 
 def text_sets(docs: DataFrame) -> DataFrame:
-    """``(id, n, grams)`` for rows ``(want, text)`` whose text's set has the name ``want``; one row for each name."""
+    """``(id, grams)`` for rows ``(want, text)`` whose text's set has the name ``want``; one row for each name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, grams = Words(), Grams()
@@ -91,16 +91,16 @@ def text_sets(docs: DataFrame) -> DataFrame:
                 want = part.column(0).to_pylist()
                 sets = _sets(part.column(1).to_pylist(), words, grams)
                 hit = [i for i, s in enumerate(sets) if _digest(s) == want[i]]
-                yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in hit], pa.int64()), pa.array([len(sets[i]) for i in hit], pa.int32()), _lists([sets[i] for i in hit])], ["id", "n", "grams"])
+                yield pa.RecordBatch.from_arrays([pa.array([want[i] for i in hit], pa.int64()), _lists([sets[i] for i in hit])], ["id", "grams"])
 
-    return docs.mapInArrow(run, "id long, n int, grams array<long>")
+    return docs.mapInArrow(run, "id long, grams array<long>")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, class_id, copy_of, n_shingles)`` of every row: class_id is the least doc_id of its near-duplicate class, copy_of of the rows with an equal set."""
     rows = checkpoint(sketch(docs))
     reps = checkpoint(rows.groupBy("id", "n", "keys").agg(F.min("doc_id").alias("doc")))
-    buckets = reps.where("n > 0").select(F.explode("keys").alias("key"), "id", "n")
+    buckets = reps.where("n > 0").select(F.explode("keys").alias("key"), "id")
 
     def grams(ids: DataFrame) -> DataFrame:
         want = reps.join(ids, "id", "left_semi").select(F.col("id").alias("want"), "doc")

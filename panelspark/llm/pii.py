@@ -86,19 +86,21 @@ def terms(docs: DataFrame) -> DataFrame:
     found = line.where(F.rlike("line", F.lit(r"[0-9@]"))).withColumn("spans", base_spans(F.col("line"))).where(F.size("spans") > 0)
     seen = found.select(F.xxhash64("line").alias("line"), words(masked).alias("terms"), F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["kind"], x["hit"])))).alias("entity"))
     seen = checkpoint(seen.distinct())
+    total = F.lit(float(max(line.count(), 2)))
     both = seen.select("entity", "line", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
     entity = seen.groupBy("entity").agg(F.count("*").alias("ne"))
-    both = checkpoint(both.join(entity, "entity"))
+    # exact bound: a term in more lines than this cannot reach the threshold, and those beside entities are known
+    most = F.col("both") * F.pow(total / F.col("ne"), F.lit(1 - GENERALISE)) + 1
+    known = seen.select("line", "terms").distinct().select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("known"))
+    both = checkpoint(both.join(entity, "entity").join(known, "term").where(F.col("known") <= most).select("term", "both", "ne"))
     none = docs.sparkSession.createDataFrame([], "term string, removed boolean")
     if both.isEmpty():
         return none
     names = checkpoint(both.select("term").distinct())
     bits = member_bits(names, "term")
     met = line.select(F.xxhash64("line").alias("line"), F.explode(words(F.col("line"))).alias("term")).where(may_contain(bits, F.col("term"))).join(names, "term").distinct()
-    total = line.count()
     nt = met.groupBy("term").agg(F.count("*").alias("nt"))
-    n = F.lit(float(max(total, 2)))
-    share = F.log(F.col("both") * n / (F.col("nt") * F.col("ne"))) / F.greatest(F.log(n / F.col("ne")), F.lit(1e-9))
+    share = F.log(F.col("both") * total / (F.col("nt") * F.col("ne"))) / F.greatest(F.log(total / F.col("ne")), F.lit(1e-9))
     told = both.join(nt, "term").groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE)
     return checkpoint(told.select("term", (F.col("share") >= REMOVE).alias("removed")))
 

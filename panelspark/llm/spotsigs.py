@@ -179,8 +179,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     short = ranked.groupBy("id", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "sig"))), 1, (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")).alias("short"))
     size = F.floor(F.log("n") / float(-np.log(threshold)))
     keys = short.select("id", "n", F.explode("short.sig").alias("sig"), F.array(size, size + 1).alias("sizes")).select("id", "n", "sig", F.explode("sizes").alias("size"))
-    known = reps.select("id", n.alias("n"), F.col("sigs").alias("grams"))
-    edges = link(keys.select(F.xxhash64("sig", "size").alias("key"), "id", "n"), lambda ids: known.join(ids, "id", "left_semi"), threshold, [])
+    known = reps.select("id", F.col("sigs").alias("grams"))
+    edges = link(keys.select(F.xxhash64("sig", "size").alias("key"), "id"), lambda ids: known.join(ids, "id", "left_semi"), threshold, [])
     comp = reps.select("id", "doc_id").join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = comp.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     return rows.select("doc_id", "id").join(comp.select("id", "comp"), "id").join(least, "comp").select("doc_id", "class_id")

@@ -31,7 +31,7 @@ def none(spark):
 
 @pytest.fixture(scope="module")
 def labels(spark):
-    return spark.createDataFrame([(1, 0, 1), (1, 0, 0), (2, None, None), (None, 1, 1), (3, 1, 0), (4, 1, 0), (5, 1, 0), (7, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame([(7, 0, 1), (7, 0, 0), (2, None, None), (None, 1, 1), (1, 1, 0), (3, 1, 0), (4, 1, 0), (5, 1, 0), (8, 1, 0)], "doc_id long, quality int, toxic int")
 
 
 def over(operator):
