@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 22
 #: Members up to which a bucket is compared throughout.
 SMALL = 16
+#: The same for buckets by the longest keys, whose members are all close.
+LAST = 256
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -82,54 +84,64 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("src").alias("node"), F.col("dst").alias("comp")).unionByName(roots).distinct()
 
 
-def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold: float, tighter: list[Callable[[DataFrame], DataFrame]]) -> DataFrame:
+def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold: float, tighter: list[Callable[[DataFrame], DataFrame]], as_set: Callable[[Column], Column] = lambda grams: grams) -> DataFrame:
     """Edges ``(src, dst)`` whose Jaccard similarity is at least ``threshold``, among members of one bucket.
 
     ``buckets(key, id)``: ids of different texts. ``grams`` takes a frame of ids and returns
-    ``(id, grams array<long>)`` for them. ``tighter``: functions that deal such a frame into
-    buckets with ever longer keys.
-
-    Every member is compared with one centre of its bucket, another one in each band, so
-    the pairs grow with the members and not with their square. Where a bucket holds members
-    unlike its centre, a small one (``SMALL`` members at most, so no member meets more) is
-    compared throughout; the members of a large one are dealt again by longer keys, which
-    only closer sets share, and compared in the same way. After the longest keys, what is
-    unlike its centre forms a bucket of its own, until none is left.
+    ``(id, grams)`` for them; ``as_set`` makes an array of distinct elements of grams.
+    ``tighter``: functions that deal such a frame into buckets with ever longer keys.
+
+    Every member is compared with the centre of its bucket (two centres serve all bands of
+    a group), so the pairs grow with the members and not with their square. Where a bucket
+    holds members unlike its centre, a small one (``SMALL`` members at most, so no member
+    meets more) is compared throughout; the members of a large one are dealt again by longer
+    keys, which only closer sets share, and compared in the same way. After the longest keys
+    ``LAST`` members are still few; what is unlike the centre of a larger bucket then forms
+    a bucket of its own, until none is left.
     """
     from pyspark.sql import Window
 
     def stars(rows: DataFrame) -> DataFrame:
         """Members beside their bucket's centre; the running first value keeps no bucket in memory."""
-        by = Window.partitionBy("key").orderBy(F.xxhash64("key", "id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+        by = Window.partitionBy("key").orderBy(F.xxhash64("id", F.pmod("key", F.lit(2))), "id").rowsBetween(Window.unboundedPreceding, 0)
         return rows.withColumn("c", F.first("id").over(by)).where("id <> c")
 
     def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        left, right = sets.select("id", F.col("grams").alias("ga")), sets.select(F.col("id").alias("c"), F.col("grams").alias("gb"))
-        lo, hi = F.least(F.size("ga"), F.size("gb")), F.greatest(F.size("ga"), F.size("gb"))
-        both = F.when(lo >= hi * threshold, F.size(F.array_intersect("ga", "gb"))).otherwise(0)  # the sizes alone rule many out
-        return pairs.join(left, "id").join(right, "c").where(both / (lo + hi - both) >= threshold).select("id", "c")
+        left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
 
+        def enough(p: Column) -> Column:
+            na, nb = F.size(p["x"]), F.size(p["y"])
+            fit = F.least(na, nb) >= F.greatest(na, nb) * threshold  # the sizes alone rule many out
+            return F.when(fit, F.size(F.array_intersect(p["x"], p["y"])) * (1 + threshold) >= (na + nb) * threshold - 1e-9).otherwise(False)
+
+        # a lambda over one struct: the sets are made once for a pair
+        both = F.array(F.struct(as_set(F.col("ga")).alias("x"), as_set(F.col("gb")).alias("y")))
+        return pairs.join(left, "a").join(right, "b").where(F.exists(both, enough)).select("a", "b")
+
+    ends = [F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")]
     edges: list[DataFrame] = []
-    sets, rows, level = None, buckets, 0
+    small: list[DataFrame] = []
+    everything, rows, level = None, buckets, 0
     while True:
         cand = checkpoint(stars(rows))
-        if sets is None:
-            sets = checkpoint(grams(cand.select("id").unionByName(cand.select(F.col("c").alias("id"))).distinct()))
-        like = checkpoint(alike(cand.select("id", "c").distinct(), sets))
+        if everything is None:
+            everything = sets = checkpoint(grams(cand.select("id").unionByName(cand.select(F.col("c").alias("id"))).distinct()))
+        like = checkpoint(alike(cand.select(*ends).distinct(), sets))
         edges.append(like)
-        judged = cand.join(like.withColumn("like", F.lit(1)), ["id", "c"], "left").select("key", "id", F.coalesce("like", F.lit(0)).alias("like"))
+        judged = cand.select("key", "id", *ends).join(like.withColumn("like", F.lit(1)), ["a", "b"], "left").select("key", "id", F.coalesce("like", F.lit(0)).alias("like"))
         found = judged.groupBy("key").agg(F.count("*").alias("m"), F.sum("like").alias("s")).where("m > 1 and s < m").select("key", "m")
         judged = checkpoint(judged.join(found, "key").select("key", "id", "like", "m"))
-        few = judged.where(F.col("m") <= SMALL).select("key", "id")
-        pairs = few.join(few.select("key", F.col("id").alias("c")), "key").where("id > c").select("id", "c").distinct()
-        edges.append(alike(pairs, sets))
-        many = judged.where(F.col("m") > SMALL)
-        if level < len(tighter):
+        most = SMALL if level <= len(tighter) else LAST
+        few = judged.where(F.col("m") <= most).select("key", "id")
+        small.append(few.join(few.select("key", F.col("id").alias("c")), "key").where("id > c").select(*ends).distinct())
+        many = judged.where(F.col("m") > most)
+        done = many.isEmpty()
+        if not done and level < len(tighter):
             sets = checkpoint(sets.join(many.select("id").distinct(), "id", "left_semi"))
-            rows, done = tighter[level](sets), sets.isEmpty()
-        else:
-            rows = checkpoint(many.where("like = 0").select("key", "id"))
-            done = rows.isEmpty()
+            rows = tighter[level](sets)
+        elif not done:
+            rows = many.where("like = 0").select("key", "id")
         level += 1
         if done:
-            return checkpoint(reduce(DataFrame.unionByName, edges).select(F.col("id").alias("src"), F.col("c").alias("dst")))
+            edges.append(alike(reduce(DataFrame.unionByName, small).distinct(), everything))
+            return checkpoint(reduce(DataFrame.unionByName, edges).select(F.col("a").alias("src"), F.col("b").alias("dst")))
