@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 from functools import reduce
@@ -22,7 +23,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # what the rounds before have shuffled is garbage by now; it leaves the disks when the driver's collector finds it
+    gc.collect()
+    sc._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -132,8 +137,9 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
         found = judged.groupBy("key").agg(F.count("*").alias("m"), F.sum("like").alias("s")).where("m > 1 and s < m").select("key", "m")
         judged = checkpoint(judged.join(found, "key").select("key", "id", "like", "m"))
         most = SMALL if level <= len(tighter) else LAST
-        few = judged.where(F.col("m") <= most).select("key", "id")
-        small.append(few.join(few.select("key", F.col("id").alias("c")), "key").where("id > c").select(*ends).distinct())
+        few = judged.where(F.col("m") <= most).select("key", "id", "like")
+        # two that are like the centre are linked already
+        small.append(few.join(few.select("key", F.col("id").alias("c"), F.col("like").alias("other")), "key").where("id > c and like + other < 2").select(*ends).distinct())
         many = judged.where(F.col("m") > most)
         done = many.isEmpty()
         if not done and level < len(tighter):
