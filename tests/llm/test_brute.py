@@ -308,7 +308,7 @@ def test_machine_learns_pairs():
         y.append(float(a and b) if rng.random() > 0.02 else float(rng.random() < 0.5))
     import numpy as np
 
-    machine = toxicity.fit(bags, np.array(y))
+    machine = toxicity.fit(toxicity.packed(bags), np.array(y))
     only, pair = machine.score([toxicity.bag(t, {}) for t in ("red blue tall small green red blue tall small green red tall insulting", "red blue tall small green red blue tall small green red tall insulting grouping")])
     assert only < 0.2 < 0.8 < pair
     assert np.abs(machine.vectors).max() > 0.1
