@@ -451,11 +451,11 @@ _J = "(CASE WHEN (x.reviewer_id % 7 = {o}.reviewer_id % 7) AND (x.reviewer_id %
 
 
 @query(SIGNALS + f""", a AS (SELECT paper_id, reviewer_id, profile v FROM g WHERE reviewer_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY round(profile, 9) DESC, round(semantic, 9) DESC, reviewer_id) = 1),
-b AS (SELECT x.paper_id, x.reviewer_id, x.semantic, CASE WHEN a.reviewer_id IS NULL THEN 0.64 * (0.68 * semantic + 0.32 * profile) + 0.28 ELSE 0.64 * (0.68 * semantic + 0.32 * profile) + 0.28 * ((x.reviewer_id % 7 <> a.reviewer_id % 7)::INT + (x.reviewer_id % 5 <> a.reviewer_id % 5)::INT) / 2.0::DOUBLE - 0.12 * {_J.format(o='a')} END v FROM g x LEFT JOIN a USING (paper_id) WHERE x.reviewer_id % 3 = 1
- QUALIFY row_number() OVER (PARTITION BY x.paper_id ORDER BY round(v, 9) DESC, round(semantic, 9) DESC, x.reviewer_id) = 1),
+b AS (SELECT x.paper_id, x.reviewer_id, x.semantic, CASE WHEN a.reviewer_id IS NULL THEN 0.64 * (0.68 * semantic + 0.32 * profile) + 0.28 ELSE 0.64 * (0.68 * semantic + 0.32 * profile) + 0.28 * ((x.reviewer_id % 7 <> a.reviewer_id % 7)::INT + (x.reviewer_id % 5 <> a.reviewer_id % 5)::INT) / 2.0::DOUBLE - 0.12 * {_J.format(o='a')} END vb FROM g x LEFT JOIN a USING (paper_id) WHERE x.reviewer_id % 3 = 1
+ QUALIFY row_number() OVER (PARTITION BY x.paper_id ORDER BY round(vb, 9) DESC, round(x.semantic, 9) DESC, x.reviewer_id) = 1),
 c AS (SELECT x.paper_id, x.reviewer_id, 0.64 * (0.70 * x.semantic + 0.30 * profile) - 0.36 * greatest({_J.format(o='a')}, {_J.format(o='b')}) + 0.22 * ((x.reviewer_id % 7 NOT IN (a.reviewer_id % 7, b.reviewer_id % 7))::INT + (x.reviewer_id % 5 NOT IN (a.reviewer_id % 5, b.reviewer_id % 5))::INT) / 2.0::DOUBLE vc FROM g x JOIN a USING (paper_id) JOIN b USING (paper_id) WHERE x.reviewer_id % 3 = 2
  QUALIFY row_number() OVER (PARTITION BY x.paper_id ORDER BY round(vc, 9) DESC, round(x.semantic, 9) DESC, x.reviewer_id) = 1)
-SELECT paper_id, 1 slot, reviewer_id, round(v, 6) AS "value" FROM a UNION ALL SELECT paper_id, 2, reviewer_id, round(v, 6) FROM b UNION ALL SELECT paper_id, 3, reviewer_id, round(vc, 6) FROM c""")
+SELECT paper_id, 1 slot, reviewer_id, round(v, 6) AS "value" FROM a UNION ALL SELECT paper_id, 2, reviewer_id, round(vb, 6) FROM b UNION ALL SELECT paper_id, 3, reviewer_id, round(vc, 6) FROM c""")
 def panel_role_balanced(spark, d):
     """P01-P07."""
     return R.role_panel(_candidates(spark, d)).select("paper_id", "slot", "reviewer_id", F.round("value", 6).alias("value"))
