@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,9 @@ class Pieces:
         for i, b in self.byte.items():
             self.byte_id[b] = i
         self.plain = [i for i in range(n) if i not in self.byte and not sp.is_control(i) and not sp.is_unknown(i) and not sp.is_unused(i)]
+        plain = set(self.plain)
+        self.parts = [bytes([self.byte[i]]) if i in self.byte else self.names[i].encode() if i in plain else b"" for i in range(n)]
+        self.is_byte = np.array([i in self.byte for i in range(n)])
         self.longest = max(len(self.names[i]) for i in self.plain)
         keys = np.array([self.hash_of(self.names[i]) for i in self.plain], np.uint64)
         order = np.argsort(keys, kind="stable")
@@ -104,7 +108,7 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         parts = [PART.findall((SPACE if self.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
-        if len(self.seen) > 200_000:
+        if len(self.seen) > 500_000:
             self.seen.clear()
         by: dict[int, list[str]] = {}
         for w in set().union(*parts).difference(self.seen) if parts else ():
@@ -113,18 +117,12 @@ class Pieces:
             step = max(1, min(TOGETHER, 4_000_000 // length))
             for k in range(0, len(words), step):
                 self.seen.update(zip(words[k : k + step], self.cut(words[k : k + step]), strict=True))
-        return [[i for w in p for i in self.seen[w]] for p in parts]
+        return [list(chain.from_iterable(map(self.seen.__getitem__, p))) for p in parts]
 
     def decode(self, ids: list[int] | None) -> str:
-        out = bytearray()
-        plain = set(self.plain) if not hasattr(self, "_plain") else self._plain
-        self._plain = plain
-        for i in ids or ():
-            if i in self.byte:
-                out.append(self.byte[i])
-            elif i in plain:
-                out += self.names[i].encode()
-        text = out.decode("utf-8", "replace").replace(SPACE, " ")
+        if ids and not (0 <= min(ids) and max(ids) < len(self.parts)):
+            ids = [i for i in ids if 0 <= i < len(self.parts)]
+        text = b"".join(map(self.parts.__getitem__, ids or ())).decode("utf-8", "replace").replace(SPACE, " ")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -162,7 +160,7 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
                 part = b.slice(k, 256)
                 texts = part.column(1).to_pylist()
                 ids = pieces.encode(texts)
-                rows = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([sum(i in pieces.byte for i in x) for x in ids], pa.int64())]
+                rows = [part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([int(pieces.is_byte[np.array(x, np.int64)].sum()) for x in ids], pa.int64())]
                 rows += [pa.array([hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids]), pa.array([pieces.decode(x) == (t or "") for x, t in zip(ids, texts, strict=True)])]
                 yield pa.RecordBatch.from_arrays(rows, ["doc_id", "n_pieces", "n_byte_pieces", "ids_sha256", "same"])
 
