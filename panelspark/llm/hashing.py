@@ -113,6 +113,21 @@ def darts(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, owners:
     return out
 
 
+def minima(sets: list[np.ndarray], k: int) -> np.ndarray:
+    """``(sets, k)`` MinHash signatures of non-empty sets of hashes: the least value under each of k scrambles."""
+    el = np.concatenate(sets)
+    starts = np.cumsum([0, *[len(s) for s in sets[:-1]]])
+    out = np.empty((len(sets), k), np.uint64)
+    odd = mix(np.arange(1, k + 1, dtype=np.uint64)) | np.uint64(1)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            x = el * odd[i]
+            x ^= x >> np.uint64(32)
+            x *= BASE
+            out[:, i] = np.minimum.reduceat(x, starts)
+    return out
+
+
 def bands(signatures: np.ndarray, rows: int) -> np.ndarray:
     """``(sets, bands)`` keys: one for each ``rows`` coordinates, with the band's number hashed in."""
     n, k = signatures.shape
