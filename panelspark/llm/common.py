@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -30,6 +31,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared checkpoint folder: for wide rows, which take far less room so than in a checkpoint."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tables-")
+    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,7 +100,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold: float, tighter: list[Callable[[DataFrame], DataFrame]], as_set: Callable[[Column], Column] = lambda grams: grams) -> DataFrame:
-    """Edges ``(src, dst)`` whose Jaccard similarity is at least ``threshold``, among members of one bucket.
+    """Edges ``(src, dst)`` that connect whatever links of Jaccard similarity ``threshold`` or more connect, among members of one bucket.
 
     ``buckets(key, id)``: ids of different texts. ``grams`` takes a frame of ids and returns
     ``(id, grams)`` for them; ``as_set`` makes an array of distinct elements of grams.
@@ -99,7 +109,7 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
     Every member is compared with the centre of its bucket (two centres serve all bands of
     a group), so the pairs grow with the members and not with their square. Where a bucket
     holds members unlike its centre, a small one (``SMALL`` members at most, so no member
-    meets more) is compared throughout; the members of a large one are dealt again by longer
+    meets more) is compared throughout, but for what centres have linked already; the members of a large one are dealt again by longer
     keys, which only closer sets share, and compared in the same way. After the longest keys
     ``LAST`` members are still few; what is unlike the centre of a larger bucket then forms
     a bucket of its own, until none is left.
@@ -137,9 +147,7 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
         found = judged.groupBy("key").agg(F.count("*").alias("m"), F.sum("like").alias("s")).where("m > 1 and s < m").select("key", "m")
         judged = checkpoint(judged.join(found, "key").select("key", "id", "like", "m"))
         most = SMALL if level <= len(tighter) else LAST
-        few = judged.where(F.col("m") <= most).select("key", "id", "like")
-        # two that are like the centre are linked already
-        small.append(few.join(few.select("key", F.col("id").alias("c"), F.col("like").alias("other")), "key").where("id > c and like + other < 2").select(*ends).distinct())
+        small.append(judged.where(F.col("m") <= most).select(F.xxhash64(F.lit(level), "key").alias("key"), "id"))
         many = judged.where(F.col("m") > most)
         done = many.isEmpty()
         if not done and level < len(tighter):
@@ -149,5 +157,9 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
             rows = many.where("like = 0").select("key", "id")
         level += 1
         if done:
-            edges.append(alike(reduce(DataFrame.unionByName, small).distinct(), everything))
-            return checkpoint(reduce(DataFrame.unionByName, edges).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            known = components(reduce(DataFrame.unionByName, edges).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            few = reduce(DataFrame.unionByName, small).join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+            other = few.select("key", F.col("id").alias("c"), F.col("comp").alias("far"))
+            more = alike(few.join(other, "key").where("id > c and comp <> far").select(*ends).distinct(), everything)
+            spokes = known.where("node <> comp").select(F.col("node").alias("src"), F.col("comp").alias("dst"))
+            return checkpoint(spokes.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
