@@ -108,8 +108,8 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
 
     Every member is compared with the centre of its bucket (two centres serve all bands of
     a group), so the pairs grow with the members and not with their square. Where a bucket
-    holds members unlike its centre, a small one (``SMALL`` members at most, so no member
-    meets more) is compared throughout, but for what centres have linked already; the members of a large one are dealt again by longer
+    holds members that no centres have linked with one another, a small one (``SMALL`` members at most, so no member
+    meets more) is compared throughout, but for pairs of one component; the members of a large one are dealt again by longer
     keys, which only closer sets share, and compared in the same way. After the longest keys
     ``LAST`` members are still few; what is unlike the centre of a larger bucket then forms
     a bucket of its own, until none is left.
@@ -134,7 +134,7 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
         return pairs.join(left, "a").join(right, "b").where(F.exists(both, enough)).select("a", "b")
 
     ends = [F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")]
-    edges: list[DataFrame] = []
+    links: DataFrame | None = None
     small: list[DataFrame] = []
     everything, rows, level = None, buckets, 0
     while True:
@@ -142,9 +142,13 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
         if everything is None:
             everything = sets = checkpoint(grams(cand.select("id").unionByName(cand.select(F.col("c").alias("id"))).distinct()))
         like = checkpoint(alike(cand.select(*ends).distinct(), sets))
-        edges.append(like)
+        fresh = like.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        known = components(fresh if links is None else links.unionByName(fresh))
+        links = known.where("node <> comp").select(F.col("node").alias("src"), F.col("comp").alias("dst"))
         judged = cand.select("key", "id", *ends).join(like.withColumn("like", F.lit(1)), ["a", "b"], "left").select("key", "id", F.coalesce("like", F.lit(0)).alias("like"))
-        found = judged.groupBy("key").agg(F.count("*").alias("m"), F.sum("like").alias("s")).where("m > 1 and s < m").select("key", "m")
+        judged = judged.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        # what all is of one component has nothing left to link; the centre has met every member
+        found = judged.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", "m")
         judged = checkpoint(judged.join(found, "key").select("key", "id", "like", "m"))
         most = SMALL if level <= len(tighter) else LAST
         small.append(judged.where(F.col("m") <= most).select(F.xxhash64(F.lit(level), "key").alias("key"), "id"))
@@ -157,9 +161,7 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
             rows = many.where("like = 0").select("key", "id")
         level += 1
         if done:
-            known = components(reduce(DataFrame.unionByName, edges).select(F.col("a").alias("src"), F.col("b").alias("dst")))
             few = reduce(DataFrame.unionByName, small).join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             other = few.select("key", F.col("id").alias("c"), F.col("comp").alias("far"))
             more = alike(few.join(other, "key").where("id > c and comp <> far").select(*ends).distinct(), everything)
-            spokes = known.where("node <> comp").select(F.col("node").alias("src"), F.col("comp").alias("dst"))
-            return checkpoint(spokes.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+            return checkpoint(links.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
