@@ -125,3 +125,8 @@ def policy(score: Column, sim: Column, h: Column, role: Column, floor: float = 0
     x = F.when(h <= 2, x * 0.68).otherwise(x)
     x = F.when(role == "fresher", F.greatest(x, 0.58 * sim)).otherwise(x)
     return clamp(F.when(role == "expert", x + 0.05).otherwise(x))
+
+
+def available(score: Column, load: Column, capacity: Column) -> Column:
+    """the score times the free share of the capacity."""
+    return score * F.greatest(F.lit(0.0), 1 - load / capacity)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import scores as S
+
 
 def hits(ranking: DataFrame, truth: DataFrame, keys: list[str] = ["paper_id"]) -> DataFrame:  # noqa: B006
     """The ranking of papers with truth, with ``hit`` 0/1 and ``n_truth``; (paper, reviewer) is unique on both sides."""
@@ -166,3 +168,17 @@ def t_p_value(t: float, df: int) -> float:
         return h
 
     return front * fraction(x, a, b) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(1 - x, b, a) / b
+
+
+def pairwise_diversity(panels: DataFrame) -> DataFrame:
+    """Of each panel ``(paper_id, slot, tokens)`` the mean of 1 - Jaccard over its pairs, and its tokens' entropy over that of a flat spread.
+
+    A panel of one has no pair and gives null; a panel without tokens has the entropy 0.
+    """
+    a = panels.select("paper_id", F.col("slot").alias("i"), F.col("tokens").alias("x"))
+    b = panels.select("paper_id", F.col("slot").alias("j"), F.col("tokens").alias("y"))
+    apart = a.join(b, "paper_id").where("i < j").groupBy("paper_id").agg(F.avg(1 - S.jaccard(F.col("x"), F.col("y"))).alias("dissimilarity"))
+    each = panels.select("paper_id", F.explode("tokens").alias("t")).groupBy("paper_id", "t").agg(F.count("*").alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("paper_id"))
+    spread = each.withColumn("p", share).groupBy("paper_id").agg((-F.sum(F.col("p") * F.log2("p")) / F.log2(F.greatest(F.lit(2), F.count("*")))).alias("entropy"))
+    return panels.select("paper_id").distinct().join(apart, "paper_id", "left").join(spread, "paper_id", "left").na.fill(0.0, ["entropy"])

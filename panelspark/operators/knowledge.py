@@ -108,10 +108,21 @@ def path_confidence(paths: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log1p(paths) / 5))
 
 
-def citation_weighted(papers: DataFrame, publications: DataFrame) -> DataFrame:
-    """The mean of Jaccard over a reviewer's publications ``(reviewer_id, pub_id, tokens, citations)``, weighted by log citations."""
+def feature_weights(nodes: DataFrame, e: DataFrame) -> DataFrame:
+    """Unit-length features ``(id, term, w)`` of ``nodes(id)``: the node and its neighbours weigh 1, nodes two steps away 0.5."""
+    n = both_ways(e).distinct()
+    near = nodes.join(n.withColumnRenamed("src", "id"), "id").withColumnRenamed("dst", "x")
+    far = near.join(n.select(F.col("src").alias("x"), "dst"), "x").select("id", F.col("dst").alias("term")).distinct().withColumn("w", F.lit(0.5))
+    rows = nodes.select("id", F.col("id").alias("term"), F.lit(1.0).alias("w")).unionByName(near.select("id", F.col("x").alias("term"), F.lit(1.0).alias("w"))).unionByName(far)
+    rows = rows.groupBy("id", "term").agg(F.max("w").alias("w"))
+    return rows.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id"))))
+
+
+def citation_weighted(papers: DataFrame, publications: DataFrame, most: int = 20) -> DataFrame:
+    """The mean of Jaccard over a reviewer's first ``most`` publications ``(reviewer_id, pub_id, tokens, citations)``, weighted by log citations."""
     w = F.greatest(F.log1p("citations"), F.lit(1.0))
-    pubs = publications.where(F.size("tokens") > 0).withColumn("w", w)
+    nth = F.row_number().over(Window.partitionBy("reviewer_id").orderBy("pub_id"))
+    pubs = publications.withColumn("nth", nth).where((F.col("nth") <= most) & (F.size("tokens") > 0)).withColumn("w", w)
     total = pubs.groupBy("reviewer_id").agg(F.sum("w").alias("total"))
     p = papers.select("paper_id", F.size("tokens").alias("np"), F.explode("tokens").alias("t"))
     r = pubs.select("reviewer_id", "pub_id", "w", F.size("tokens").alias("nr"), F.explode("tokens").alias("t"))

@@ -488,3 +488,100 @@ SELECT conv_id, turn, CASE WHEN s IS NOT NULL THEN least(greatest(s, 0.0), 1.0):
 def parsed_scores(spark, d):
     """T30."""
     return table(spark, d, "conversations").select("conv_id", "turn", T.parse_score(F.col("text")).alias("score"))
+
+
+# ---- further signals, panels and reports
+
+@query(TOKENS + "SELECT paper_id, reviewer_id, round(score, 6) score FROM j")
+def token_jaccard_pairs(spark, d):
+    """Every pair that shares a token."""
+    p = _tokens(spark, d, "benchmark", "item_id").withColumnRenamed("id", "paper_id")
+    r = _tokens(spark, d, "documents", "doc_id").withColumnRenamed("id", "reviewer_id")
+    return R.lexical_pairs(p, r).withColumn("score", F.round("score", 6))
+
+
+@query(TOPICS + """, c AS (SELECT id, topic, 1.0::DOUBLE / count(*) OVER (PARTITION BY id) w FROM o), x AS (SELECT DISTINCT doc_id id, lang topic, 0.3::DOUBLE w FROM documents WHERE lang IS NOT NULL),
+u AS (SELECT id, topic, sum(w) w FROM (SELECT * FROM c UNION ALL SELECT * FROM x) GROUP BY 1, 2) SELECT id, topic, round(w / sum(w) OVER (PARTITION BY id), 6) weight FROM u""")
+def topic_weights(spark, d):
+    """Shares of the dictionary's topics, and the language as an extra topic."""
+    extra = table(spark, d, "documents").where("lang is not null").select(F.col("doc_id").alias("id"), F.col("lang").alias("topic"))
+    return K.topic_weights(_topics(spark, d), extra).select("id", "topic", F.round("w", 6).alias("weight"))
+
+
+@query(EDGES + """, q AS (SELECT 'n' || n_nationkey paper_id, 'n' || (n_nationkey + 1) reviewer_id FROM nation WHERE n_nationkey < 24),
+br AS (SELECT paper_id, reviewer_id, count(DISTINCT y.src) bridge FROM q JOIN n x ON x.src = paper_id JOIN n m ON m.src = x.dst JOIN n y ON y.src = m.dst AND y.dst = reviewer_id WHERE m.dst <> paper_id AND x.dst <> reviewer_id GROUP BY 1, 2)
+SELECT paper_id, reviewer_id, round(least(1.0::DOUBLE, ln(1 + coalesce(bridge, 0)) / 5), 6) path_confidence FROM q LEFT JOIN br USING (paper_id, reviewer_id)""")
+def path_confidence(spark, d):
+    """nations' paths through suppliers and parts."""
+    q = table(spark, d, "nation").where("n_nationkey < 24").select(F.concat(F.lit("n"), "n_nationkey").alias("paper_id"), F.concat(F.lit("n"), (F.col("n_nationkey") + 1).cast("string")).alias("reviewer_id"))
+    return K.overlap_score(q, _edges(spark, d)).select("paper_id", "reviewer_id", F.round(K.path_confidence(F.col("bridge").cast("double")), 6).alias("path_confidence"))
+
+
+@query(EDGES + """, i AS (SELECT 'n' || n_nationkey id FROM nation), f AS (SELECT id, id term, 1.0::DOUBLE w FROM i UNION ALL SELECT id, dst, 1.0 FROM i JOIN n ON src = id UNION ALL SELECT id, y.dst, 0.5 FROM i JOIN n x ON x.src = id JOIN n y ON y.src = x.dst),
+g AS (SELECT id, term, max(w) w FROM f GROUP BY 1, 2), h AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) w FROM g)
+SELECT a.id paper_id, b.id reviewer_id, round(sum(a.w * b.w), 6) score FROM h a JOIN h b USING (term) WHERE a.id < b.id GROUP BY 1, 2""")
+def graph_feature_cosine(spark, d):
+    """Cosine of nations by what lies within two steps."""
+    w = K.feature_weights(table(spark, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("id")), _edges(spark, d))
+    return K.sparse_cosine(w, w).where("paper_id < reviewer_id").withColumn("score", F.round("score", 6))
+
+
+@query("""WITH s AS (SELECT source reviewer_id, doc_id, n_chars, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) t, row_number() OVER (PARTITION BY source ORDER BY doc_id) nth FROM documents),
+r AS (SELECT *, greatest(ln(1 + n_chars), 1.0::DOUBLE) w FROM s WHERE nth <= 20 AND len(t) > 0), z AS (SELECT reviewer_id, sum(w) total FROM r GROUP BY 1),
+p AS (SELECT item_id paper_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]{4,}')) t FROM benchmark), pe AS (SELECT paper_id, len(t) np, unnest(t) x FROM p), re AS (SELECT reviewer_id, doc_id, w, len(t) nr, unnest(t) x FROM r),
+b AS (SELECT paper_id, reviewer_id, doc_id, w, np, nr, count(*) b FROM pe JOIN re USING (x) GROUP BY ALL)
+SELECT paper_id, reviewer_id, round(sum(b::DOUBLE / (np + nr - b) * w) / any_value(total), 6) score FROM b JOIN z USING (reviewer_id) GROUP BY 1, 2""")
+def citation_weighted_similarity(spark, d):
+    """Sources as reviewers, their texts as publications, lengths as citations."""
+    p = _tokens(spark, d, "benchmark", "item_id").withColumnRenamed("id", "paper_id")
+    pubs = table(spark, d, "documents").select(F.col("source").alias("reviewer_id"), F.col("doc_id").alias("pub_id"), T.tokens(F.col("text"), "[a-z0-9]{4,}").alias("tokens"), F.col("n_chars").alias("citations"))
+    return K.citation_weighted(p, pubs).withColumn("score", F.round("score", 6))
+
+
+@query(RANKED + """SELECT r.paper_id, r.reviewer_id, rank, round(score, 6) score, 'topic ' || ea.label title, 'group ' || eb.label AS "name", ea.label = eb.label in_truth
+FROM r JOIN embeddings ea ON ea.vec_id = r.paper_id JOIN embeddings eb ON eb.vec_id = r.reviewer_id WHERE rank <= 3""")
+def results_table(spark, d):
+    """The top three of each paper with titles, names and the truth."""
+    e = table(spark, d, "embeddings")
+    titles = e.select(F.col("vec_id").alias("paper_id"), F.concat(F.lit("topic "), "label").alias("title"))
+    names = e.select(F.col("vec_id").alias("reviewer_id"), F.concat(F.lit("group "), "label").alias("name"))
+    return X.results_table(_ranked(spark, d), titles, names, _truth(spark, d), 3).select("paper_id", "reviewer_id", "rank", F.round("score", 6).alias("score"), "title", "name", "in_truth")
+
+
+@query(SIGNALS + """, f AS (SELECT *, 0.6 * base + 0.3 * kg + 0.1 * profile sc FROM g WHERE (paper_id + reviewer_id) % 11 <> 0), y AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(sc, 9) DESC, reviewer_id) rk FROM f)
+SELECT paper_id, reviewer_id, round(sc, 6) score, rk rank FROM y WHERE rk <= 10""")
+def fusion_quality_coi(spark, d):
+    """Fused scores ranked after the pairs in conflict have gone."""
+    rows = _signals(spark, d)
+    coi = rows.where(F.pmod(F.col("paper_id") + F.col("reviewer_id"), F.lit(11)) == 0).select("paper_id", "reviewer_id", F.lit(0.75).alias("coi_score"), F.lit(False).alias("flagged"))
+    rows = R.without_conflicts(rows, coi).withColumn("score", 0.6 * F.col("base") + 0.3 * F.col("kg") + 0.1 * F.col("profile"))
+    return rows.withColumn("rank", S.rank_by(F.col("score"), F.col("reviewer_id"), by=["paper_id"])).where("rank <= 10").select("paper_id", "reviewer_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(SIGNALS + """, x AS (SELECT *, reviewer_id % 40 h, CASE reviewer_id % 3 WHEN 0 THEN 'expert' WHEN 1 THEN 'moderate' ELSE 'fresher' END AS role FROM g), a AS (SELECT *, CASE WHEN semantic < 0.4 THEN base * 0.75 ELSE base END s1 FROM x),
+b AS (SELECT *, CASE WHEN h <= 2 THEN s1 * 0.68 ELSE s1 END s2 FROM a), c AS (SELECT *, CASE WHEN role = 'fresher' THEN greatest(s2, 0.58 * semantic) ELSE s2 END s3 FROM b)
+SELECT paper_id, reviewer_id, role, round(least(greatest(CASE WHEN role = 'expert' THEN s3 + 0.05 ELSE s3 END, 0), 1), 6) score FROM c""")
+def score_policy(spark, d):
+    """penalties and bonuses in their order."""
+    role = F.when(F.col("reviewer_id") % 3 == 0, "expert").when(F.col("reviewer_id") % 3 == 1, "moderate").otherwise("fresher")
+    rows = _signals(spark, d).withColumn("role", role)
+    return rows.select("paper_id", "reviewer_id", "role", F.round(S.policy(F.col("base"), F.col("semantic"), F.col("reviewer_id") % 40, F.col("role")), 6).alias("score"))
+
+
+@query(SIGNALS + """, x AS (SELECT paper_id, reviewer_id, reviewer_id % 3 r, reviewer_id % 7 a, reviewer_id % 5 b, row_number() OVER (PARTITION BY paper_id, reviewer_id % 3 ORDER BY round(base, 9) DESC, reviewer_id) n FROM g), p AS (SELECT * FROM x WHERE n = 1),
+w AS (SELECT i.paper_id, avg(1 - CASE (i.a = j.a)::INT + (i.b = j.b)::INT WHEN 2 THEN 1.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE / 3 ELSE 0 END) dissimilarity FROM p i JOIN p j ON i.paper_id = j.paper_id AND i.r < j.r GROUP BY 1),
+t AS (SELECT paper_id, t, count(*) n FROM (SELECT paper_id, 'a' || a t FROM p UNION ALL SELECT paper_id, 'b' || b FROM p) GROUP BY 1, 2), s AS (SELECT paper_id, n::DOUBLE / sum(n) OVER (PARTITION BY paper_id) q FROM t), e AS (SELECT paper_id, -sum(q * log2(q)) / log2(greatest(2, count(*))::DOUBLE) entropy FROM s GROUP BY 1)
+SELECT paper_id, round(dissimilarity, 6) dissimilarity, round(entropy, 6) entropy FROM (SELECT DISTINCT paper_id FROM p) LEFT JOIN w USING (paper_id) LEFT JOIN e USING (paper_id)""")
+def panel_pairwise_diversity(spark, d):
+    """Over the best candidate of each role."""
+    best = S.rank_by(F.col("base"), F.col("reviewer_id"), by=["paper_id", "slot"])
+    rows = _signals(spark, d).withColumn("slot", F.col("reviewer_id") % 3).withColumn("n", best).where("n = 1")
+    terms = F.array(F.concat(F.lit("a"), F.col("reviewer_id") % 7), F.concat(F.lit("b"), F.col("reviewer_id") % 5))
+    return E.pairwise_diversity(rows.select("paper_id", "slot", terms.alias("tokens"))).select("paper_id", F.round("dissimilarity", 6).alias("dissimilarity"), F.round("entropy", 6).alias("entropy"))
+
+
+@query(PEOPLE + "SELECT reviewer_id, round(authority * greatest(0, 1 - (reviewer_id % 16)::DOUBLE / capacity), 6) score FROM b")
+def availability_penalty(spark, d):
+    """scores lowered by the share of the capacity that is used."""
+    p = R.authority(_people(spark, d))
+    return p.select("reviewer_id", F.round(S.available(F.col("authority"), F.col("reviewer_id") % 16, F.col("capacity")), 6).alias("score"))
