@@ -568,10 +568,10 @@ def score_policy(spark, d):
     return rows.select("paper_id", "reviewer_id", "role", F.round(S.policy(F.col("base"), F.col("semantic"), F.col("reviewer_id") % 40, F.col("role")), 6).alias("score"))
 
 
-@query(SIGNALS + """, x AS (SELECT paper_id, reviewer_id, reviewer_id % 3 r, reviewer_id % 7 a, reviewer_id % 5 b, row_number() OVER (PARTITION BY paper_id, reviewer_id % 3 ORDER BY round(base, 9) DESC, reviewer_id) n FROM g), p AS (SELECT * FROM x WHERE n = 1),
-w AS (SELECT i.paper_id, avg(1 - CASE (i.a = j.a)::INT + (i.b = j.b)::INT WHEN 2 THEN 1.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE / 3 ELSE 0 END) dissimilarity FROM p i JOIN p j ON i.paper_id = j.paper_id AND i.r < j.r GROUP BY 1),
-t AS (SELECT paper_id, t, count(*) n FROM (SELECT paper_id, 'a' || a t FROM p UNION ALL SELECT paper_id, 'b' || b FROM p) GROUP BY 1, 2), s AS (SELECT paper_id, n::DOUBLE / sum(n) OVER (PARTITION BY paper_id) q FROM t), e AS (SELECT paper_id, -sum(q * log2(q)) / log2(greatest(2, count(*))::DOUBLE) entropy FROM s GROUP BY 1)
-SELECT paper_id, round(dissimilarity, 6) dissimilarity, round(entropy, 6) entropy FROM (SELECT DISTINCT paper_id FROM p) LEFT JOIN w USING (paper_id) LEFT JOIN e USING (paper_id)""")
+@query(SIGNALS + """, x AS (SELECT paper_id, reviewer_id, reviewer_id % 3 r, reviewer_id % 7 a, reviewer_id % 5 b, row_number() OVER (PARTITION BY paper_id, reviewer_id % 3 ORDER BY round(base, 9) DESC, reviewer_id) n FROM g), best AS (SELECT * FROM x WHERE n = 1),
+w AS (SELECT i.paper_id, avg(1 - CASE (i.a = j.a)::INT + (i.b = j.b)::INT WHEN 2 THEN 1.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE / 3 ELSE 0 END) dissimilarity FROM best i JOIN best j ON i.paper_id = j.paper_id AND i.r < j.r GROUP BY 1),
+tok AS (SELECT paper_id, tk, count(*) n FROM (SELECT paper_id, 'a' || a tk FROM best UNION ALL SELECT paper_id, 'b' || b FROM best) GROUP BY 1, 2), sh AS (SELECT paper_id, n::DOUBLE / sum(n) OVER (PARTITION BY paper_id) q FROM tok), e AS (SELECT paper_id, -sum(q * log2(q)) / log2(greatest(2, count(*))::DOUBLE) entropy FROM sh GROUP BY 1)
+SELECT paper_id, round(dissimilarity, 6) dissimilarity, round(entropy, 6) entropy FROM (SELECT DISTINCT paper_id FROM best) LEFT JOIN w USING (paper_id) LEFT JOIN e USING (paper_id)""")
 def panel_pairwise_diversity(spark, d):
     """Over the best candidate of each role."""
     best = S.rank_by(F.col("base"), F.col("reviewer_id"), by=["paper_id", "slot"])
