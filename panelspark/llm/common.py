@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 22
 #: Members up to which a bucket is compared throughout.
 SMALL = 16
-#: The same for buckets by the longest keys, whose members are all close.
+#: The same for buckets by the longest keys, whose members are mostly close.
 LAST = 256
 
 
