@@ -387,6 +387,20 @@ def topic_intersection(spark, d):
     return K.topic_intersection(w.where("id < 10"), w.where("id >= 10")).withColumn("score", F.round("score", 6))
 
 
+_SHARES = "SELECT id, topic, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY id) w FROM"
+
+
+@query(f"""WITH t AS (SELECT 'b' kind, item_id::VARCHAR id, text FROM benchmark UNION ALL SELECT 'd', source, text FROM documents), v(topic) AS (VALUES {_VOC_SQL}),
+o AS (SELECT kind, id, topic FROM (SELECT kind, id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' t FROM t), v WHERE contains(t, ' ' || topic || ' ')),
+a AS ({_SHARES} o WHERE kind = 'b' GROUP BY id, topic), b AS ({_SHARES} o WHERE kind = 'd' GROUP BY id, topic)
+SELECT a.id::BIGINT paper_id, b.id reviewer_id, round(sum(least(a.w, b.w)), 6) score FROM a JOIN b USING (topic) GROUP BY 1, 2""")
+def topic_intersection_sources(spark, d):
+    """Every benchmark item against every source by the shares of all topics."""
+    papers = K.topics(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), VOCABULARY)
+    sources = K.topics(table(spark, d, "documents").select(F.col("source").alias("id"), "text"), VOCABULARY)
+    return K.topic_intersection(K.topic_weights(papers), K.topic_weights(sources)).withColumn("score", F.round("score", 6))
+
+
 @query("""WITH w AS (SELECT doc_id id, generate_subscripts(ws, 1) - 1 pos, unnest(ws) w FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) > 3 AND NOT list_contains(['a','an','and','are','as','at','be','by','for','from','has','in','is','it','of','on','or','that','the','this','to','was','were','with'], x)) ws FROM documents)),
 m AS (SELECT id, pos, CASE WHEN w = 'llms' THEN 'llm' WHEN w = 'nets' THEN 'network' WHEN w = 'gnn' THEN 'graph' WHEN w = 'transformers' THEN 'transformer' ELSE w END w FROM w),
 s AS (SELECT id, pos, CASE WHEN len(w) > 5 AND w LIKE '%ies' THEN w[:-4] || 'y' WHEN len(w) > 5 AND w LIKE '%ed' THEN w[:-3] ELSE w END term FROM m),
