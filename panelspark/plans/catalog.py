@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,22 +37,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- embeddings as papers (vec_id < 50) and candidates; relevant is the same label
+# ---- embeddings as papers (FIRST, or EVERY_50TH by the queries at the end) and candidates; relevant is the same label
 
-def _ranked(spark, d, k=100):
+FIRST, EVERY_50TH = "vec_id < 50", "vec_id % 50 = 0"
+
+def _ranked(spark, d, k=100, papers=FIRST):
     e = table(spark, d, "embeddings")
-    q = e.where("vec_id < 50").select(F.col("vec_id").alias("paper_id"), F.col("embedding").alias("v"))
+    q = e.where(papers).select(F.col("vec_id").alias("paper_id"), F.col("embedding").alias("v"))
     return R.vector_top_k(q, e.select(F.col("vec_id").alias("reviewer_id"), F.col("embedding").alias("v")), k)
 
 
-def _truth(spark, d):
+def _truth(spark, d, papers=FIRST):
     e = table(spark, d, "embeddings")
-    a, b = e.where("vec_id < 50").select(F.col("vec_id").alias("paper_id"), "label"), e.select(F.col("vec_id").alias("reviewer_id"), "label")
+    a, b = e.where(papers).select(F.col("vec_id").alias("paper_id"), "label"), e.select(F.col("vec_id").alias("reviewer_id"), "label")
     return a.join(b, "label").where("paper_id <> reviewer_id").select("paper_id", "reviewer_id")
 
 
-def _scores(spark, d, k):
-    return E.per_paper(E.hits(_ranked(spark, d), _truth(spark, d)), k)
+def _scores(spark, d, k, papers=FIRST):
+    return E.per_paper(E.hits(_ranked(spark, d, papers=papers), _truth(spark, d, papers=papers)), k)
 
 
 RANKED = """WITH s AS (SELECT a.vec_id paper_id, b.vec_id reviewer_id, a.label la, b.label lb, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) score
@@ -68,21 +71,21 @@ MEANS = "count(*) n_papers, round(avg(top::DOUBLE / k), 6) AS \"precision\", rou
 
 
 @query(RANKED + "SELECT paper_id, reviewer_id, round(score, 6) score, rank FROM r WHERE rank <= 10")
-def vector_topk(spark, d):
+def vector_topk(spark, d, papers=FIRST):
     """J02, M02, F05."""
-    return _ranked(spark, d, 10).select("paper_id", "reviewer_id", F.round("score", 6).alias("score"), "rank")
+    return _ranked(spark, d, 10, papers=papers).select("paper_id", "reviewer_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(RANKED + f"SELECT {MEANS} FROM p WHERE k = 3")
-def ranking_quality(spark, d):
+def ranking_quality(spark, d, papers=FIRST):
     """R01-R05, J10, J11."""
-    return E.mean_metrics(_scores(spark, d, 3), [])
+    return E.mean_metrics(_scores(spark, d, 3, papers=papers), [])
 
 
 @query(RANKED + f"SELECT k, {MEANS} FROM p GROUP BY k")
-def ranking_quality_by_k(spark, d):
+def ranking_quality_by_k(spark, d, papers=FIRST):
     """R04-R07 at three depths, from one ranking."""
-    rows = E.hits(_ranked(spark, d), _truth(spark, d))
+    rows = E.hits(_ranked(spark, d, papers=papers), _truth(spark, d, papers=papers))
     out = None
     for k in (3, 5, 10):
         part = E.per_paper(rows, k).withColumn("k", F.lit(k))
@@ -91,36 +94,36 @@ def ranking_quality_by_k(spark, d):
 
 
 @query(RANKED + "SELECT count(*) n_hit, round(avg(ap_k), 6) map_conditional FROM p WHERE k = 3 AND top > 0")
-def map_conditional(spark, d):
+def map_conditional(spark, d, papers=FIRST):
     """R08."""
-    return E.conditional_map(_scores(spark, d, 3), [])
+    return E.conditional_map(_scores(spark, d, 3, papers=papers), [])
 
 
 @query(RANKED + "SELECT round(avg(CASE WHEN top > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) hit_rate FROM p WHERE k = 10")
-def hit_rate_at_k(spark, d):
+def hit_rate_at_k(spark, d, papers=FIRST):
     """R09."""
-    return E.hit_rate(_scores(spark, d, 10), [])
+    return E.hit_rate(_scores(spark, d, 10, papers=papers), [])
 
 
 @query(RANKED + "SELECT round(count(DISTINCT reviewer_id)::DOUBLE / (SELECT count(*) FROM embeddings), 6) coverage, round(count(DISTINCT reviewer_id)::DOUBLE / count(*), 6) diversity FROM r WHERE rank <= 10")
-def coverage_at_k(spark, d):
+def coverage_at_k(spark, d, papers=FIRST):
     """R10-R12."""
-    return E.coverage(_ranked(spark, d), F.lit(table(spark, d, "embeddings").count()), 10)
+    return E.coverage(_ranked(spark, d, papers=papers), F.lit(table(spark, d, "embeddings").count()), 10)
 
 
 @query(RANKED + """, w AS (SELECT *, min(score) OVER x lo, max(score) OVER x hi, avg(score) OVER x mu, stddev_pop(score) OVER x sd FROM r WINDOW x AS (PARTITION BY paper_id))
 SELECT paper_id, reviewer_id, round(CASE WHEN hi - lo <= 1e-8 THEN 0.5 ELSE (score - lo) / (hi - lo + 1e-8) END, 6) mm_half, round(CASE WHEN hi - lo <= 1e-8 THEN 0 ELSE (score - lo) / (hi - lo) END, 6) mm_zero,
  round(CASE WHEN sd <= 1e-9 THEN 0.5 ELSE 1 / (1 + exp(-least(greatest((score - mu) / sd, -30), 30))) END, 6) z FROM w""")
-def normalisations(spark, d):
+def normalisations(spark, d, papers=FIRST):
     """M12, M14-M18."""
     w = Window.partitionBy("paper_id")
     s = F.col("score")
-    return _ranked(spark, d).select("paper_id", "reviewer_id", F.round(S.minmax(s, w, 0.5, 1e-8), 6).alias("mm_half"), F.round(S.minmax(s, w, 0.0), 6).alias("mm_zero"), F.round(S.standardise(s, w), 6).alias("z"))
+    return _ranked(spark, d, papers=papers).select("paper_id", "reviewer_id", F.round(S.minmax(s, w, 0.5, 1e-8), 6).alias("mm_half"), F.round(S.minmax(s, w, 0.0), 6).alias("mm_zero"), F.round(S.standardise(s, w), 6).alias("z"))
 
 
-def _signals(spark, d):
+def _signals(spark, d, papers=FIRST):
     """Three signals of each ranked pair: cosine, and two from the ids."""
-    r = _ranked(spark, d).select("paper_id", "reviewer_id", F.col("score").alias("semantic"))
+    r = _ranked(spark, d, papers=papers).select("paper_id", "reviewer_id", F.col("score").alias("semantic"))
     return r.withColumns({"kg": F.pmod(F.col("paper_id") * 7 + F.col("reviewer_id") * 13, F.lit(101)) / 100.0, "profile": F.pmod(F.col("paper_id") * 3 + F.col("reviewer_id") * 5, F.lit(89)) / 88.0}).withColumn("base", S.clamp(F.col("semantic")))
 
 
@@ -129,18 +132,18 @@ SIGNALS = RANKED + ", g AS (SELECT paper_id, reviewer_id, score semantic, ((pape
 
 @query(SIGNALS + """, k AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(semantic, 9) DESC, reviewer_id) r1, row_number() OVER (PARTITION BY paper_id ORDER BY round(kg, 9) DESC, reviewer_id) r2, row_number() OVER (PARTITION BY paper_id ORDER BY round(profile, 9) DESC, reviewer_id) r3 FROM g)
 SELECT paper_id, reviewer_id, round((1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) + 1.0::DOUBLE / (60 + r3)) / (3.0::DOUBLE / 61), 6) rrf, round(0.7 * base + 0.3 * (1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) + 1.0::DOUBLE / (60 + r3)) / (3.0::DOUBLE / 61), 6) fused FROM k""")
-def rrf_fusion(spark, d):
+def rrf_fusion(spark, d, papers=FIRST):
     """F05-F07."""
-    return R.rrf_fusion(_signals(spark, d), ["semantic", "kg", "profile"], 0.3).select("paper_id", "reviewer_id", F.round("rrf", 6).alias("rrf"), F.round("fused", 6).alias("fused"))
+    return R.rrf_fusion(_signals(spark, d, papers=papers), ["semantic", "kg", "profile"], 0.3).select("paper_id", "reviewer_id", F.round("rrf", 6).alias("rrf"), F.round("fused", 6).alias("fused"))
 
 
 _MODES_SQL = ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for m, (a, b, c) in MODES.items())
 
 
 @query(SIGNALS + f", w(mode, a, b, c) AS (VALUES {_MODES_SQL}) SELECT paper_id, reviewer_id, mode, round(least(greatest(a * semantic + b * kg + c * profile, 0), 1), 6) score FROM g, w")
-def fusion_modes(spark, d):
+def fusion_modes(spark, d, papers=FIRST):
     """F08-F10, F17, F24, F27."""
-    return R.by_mode(_signals(spark, d), MODES, ["semantic", "kg", "profile"]).withColumn("score", F.round("score", 6))
+    return R.by_mode(_signals(spark, d, papers=papers), MODES, ["semantic", "kg", "profile"]).withColumn("score", F.round("score", 6))
 
 
 _GRID_SQL = ", ".join(f"('{i}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(GRID))
@@ -151,30 +154,30 @@ y AS (SELECT *, row_number() OVER (PARTITION BY mode, paper_id ORDER BY round(sc
 z AS (SELECT mode, y.paper_id, y.rk, CASE WHEN ea.label = eb.label THEN 1 ELSE 0 END hit, n_truth FROM y JOIN embeddings ea ON ea.vec_id = y.paper_id JOIN embeddings eb ON eb.vec_id = y.reviewer_id JOIN t ON t.paper_id = y.paper_id),
 u AS (SELECT mode, paper_id, coalesce(1.0::DOUBLE / min(CASE WHEN hit = 1 THEN rk END), 0) rr, sum(CASE WHEN rk <= 3 THEN hit ELSE 0 END) top, n_truth FROM z GROUP BY mode, paper_id, n_truth)
 SELECT mode, round(avg(rr), 6) mrr, round(avg(top / 3.0::DOUBLE), 6) AS "precision" FROM u GROUP BY mode""")
-def fusion_weight_grid(spark, d):
+def fusion_weight_grid(spark, d, papers=FIRST):
     """every weight triple from one pass over the signals."""
-    rows = R.by_mode(_signals(spark, d), {str(i): w for i, w in enumerate(GRID)}, ["semantic", "kg", "profile"])
+    rows = R.by_mode(_signals(spark, d, papers=papers), {str(i): w for i, w in enumerate(GRID)}, ["semantic", "kg", "profile"])
     rows = rows.withColumn("rank", S.rank_by(F.col("score"), F.col("reviewer_id"), by=["mode", "paper_id"]))
-    return E.mean_metrics(E.per_paper(E.hits(rows, _truth(spark, d)), 3, ["mode", "paper_id"]), ["mode"]).select("mode", "mrr", "precision")
+    return E.mean_metrics(E.per_paper(E.hits(rows, _truth(spark, d, papers=papers)), 3, ["mode", "paper_id"]), ["mode"]).select("mode", "mrr", "precision")
 
 
 @query(SIGNALS + """, q AS (SELECT *, 0.4 * greatest(semantic, 0) a, 0.35 * kg b, 0.25 * profile c FROM g)
 SELECT paper_id, reviewer_id, round(CASE WHEN a + b + c > 0 THEN a / (a + b + c) ELSE 0 END, 6) share_semantic, round(CASE WHEN a + b + c > 0 THEN b / (a + b + c) ELSE 0 END, 6) share_kg,
  CASE WHEN a >= b AND a >= c THEN 'semantic' WHEN b >= c THEN 'kg' ELSE 'profile' END dominant FROM q""")
-def score_contributions(spark, d):
+def score_contributions(spark, d, papers=FIRST):
     """F11."""
-    rows = _signals(spark, d).withColumn("semantic", F.greatest("semantic", F.lit(0.0)))
+    rows = _signals(spark, d, papers=papers).withColumn("semantic", F.greatest("semantic", F.lit(0.0)))
     return R.contributions(rows, {"semantic": 0.4, "kg": 0.35, "profile": 0.25}).select("paper_id", "reviewer_id", F.round("share_semantic", 6).alias("share_semantic"), F.round("share_kg", 6).alias("share_kg"), "dominant")
 
 
 @query(SIGNALS + """SELECT paper_id, reviewer_id, round(0.6 * semantic + 0.3 * kg + 0.1 * profile, 6) weighted, round(least(kg, semantic + 0.25) * profile, 6) kg_effective,
  round(CASE WHEN semantic < 0.4 THEN 0.75 * semantic ELSE 0.6 * semantic + 0.2 * profile + 0.2 * kg END, 6) relevance, CASE WHEN (CASE WHEN semantic < 0.4 THEN 0.75 * semantic ELSE 0.6 * semantic + 0.2 * profile + 0.2 * kg END) < 0.40 THEN 'low'
  WHEN (CASE WHEN semantic < 0.4 THEN 0.75 * semantic ELSE 0.6 * semantic + 0.2 * profile + 0.2 * kg END) < 0.65 THEN 'medium' ELSE 'high' END label FROM g""")
-def weighted_scores(spark, d):
+def weighted_scores(spark, d, papers=FIRST):
     """F01, F04, F09, A24."""
     s, k, p = F.col("semantic"), F.col("kg"), F.col("profile")
     rel = S.relevance(s, p, k)
-    return _signals(spark, d).select("paper_id", "reviewer_id", F.round(0.6 * s + 0.3 * k + 0.1 * p, 6).alias("weighted"), F.round(S.graph_effective(k, s, p), 6).alias("kg_effective"), F.round(rel, 6).alias("relevance"), S.relevance_label(rel).alias("label"))
+    return _signals(spark, d, papers=papers).select("paper_id", "reviewer_id", F.round(0.6 * s + 0.3 * k + 0.1 * p, 6).alias("weighted"), F.round(S.graph_effective(k, s, p), 6).alias("kg_effective"), F.round(rel, 6).alias("relevance"), S.relevance_label(rel).alias("label"))
 
 
 @query(RANKED + """, v AS (SELECT label, i, avg(embedding[i]::DOUBLE) x FROM embeddings, range(1, 65) q(i) GROUP BY label, i)
@@ -309,9 +312,9 @@ def signal_summary(spark, d):
 
 
 @query(SIGNALS + "SELECT count(*) n, round(avg(semantic - kg), 6) mean_difference, round(avg(semantic - kg) / (stddev_samp(semantic - kg) / sqrt(count(*))), 6) t FROM g")
-def paired_t_statistic(spark, d):
+def paired_t_statistic(spark, d, papers=FIRST):
     """D05."""
-    return E.paired_t(_signals(spark, d), "semantic", "kg")
+    return E.paired_t(_signals(spark, d, papers=papers), "semantic", "kg")
 
 
 # ---- texts: benchmark items are papers, documents are candidates
@@ -455,10 +458,10 @@ def graph_overlap(spark, d):
 
 # ---- panels, assignment, learned ranker, live workload
 
-def _candidates(spark, d):
+def _candidates(spark, d, papers=FIRST):
     roles = F.when(F.col("reviewer_id") % 3 == 0, "expert").when(F.col("reviewer_id") % 3 == 1, "moderate").otherwise("fresher")
     terms = F.array(F.concat(F.lit("a"), F.col("reviewer_id") % 7), F.concat(F.lit("b"), F.col("reviewer_id") % 5))
-    return _signals(spark, d).select("paper_id", "reviewer_id", roles.alias("role"), F.col("semantic").alias("sim"), F.col("profile").alias("authority"), terms.alias("terms"))
+    return _signals(spark, d, papers=papers).select("paper_id", "reviewer_id", roles.alias("role"), F.col("semantic").alias("sim"), F.col("profile").alias("authority"), terms.alias("terms"))
 
 
 _J = "(CASE WHEN (x.reviewer_id % 7 = {o}.reviewer_id % 7) AND (x.reviewer_id % 5 = {o}.reviewer_id % 5) THEN 1.0::DOUBLE WHEN (x.reviewer_id % 7 = {o}.reviewer_id % 7) OR (x.reviewer_id % 5 = {o}.reviewer_id % 5) THEN 1.0::DOUBLE / 3 ELSE 0 END)"
@@ -470,22 +473,22 @@ b AS (SELECT x.paper_id, x.reviewer_id, x.semantic, CASE WHEN a.reviewer_id IS N
 c AS (SELECT x.paper_id, x.reviewer_id, 0.64 * (0.70 * x.semantic + 0.30 * profile) - 0.36 * greatest({_J.format(o='a')}, {_J.format(o='b')}) + 0.22 * ((x.reviewer_id % 7 NOT IN (a.reviewer_id % 7, b.reviewer_id % 7))::INT + (x.reviewer_id % 5 NOT IN (a.reviewer_id % 5, b.reviewer_id % 5))::INT) / 2.0::DOUBLE vc FROM g x JOIN a USING (paper_id) JOIN b USING (paper_id) WHERE x.reviewer_id % 3 = 2
  QUALIFY row_number() OVER (PARTITION BY x.paper_id ORDER BY round(vc, 9) DESC, round(x.semantic, 9) DESC, x.reviewer_id) = 1)
 SELECT paper_id, 1 slot, reviewer_id, round(v, 6) AS "value" FROM a UNION ALL SELECT paper_id, 2, reviewer_id, round(vb, 6) FROM b UNION ALL SELECT paper_id, 3, reviewer_id, round(vc, 6) FROM c""")
-def panel_role_balanced(spark, d):
+def panel_role_balanced(spark, d, papers=FIRST):
     """P01-P07."""
-    return R.role_panel(_candidates(spark, d)).select("paper_id", "slot", "reviewer_id", F.round("value", 6).alias("value"))
+    return R.role_panel(_candidates(spark, d, papers=papers)).select("paper_id", "slot", "reviewer_id", F.round("value", 6).alias("value"))
 
 
 @query()
-def assign_greedy_capacity(spark, d):
+def assign_greedy_capacity(spark, d, papers=FIRST):
     """The order of the papers is the meaning; tested against a plain fold."""
     caps = table(spark, d, "embeddings").select(F.col("vec_id").alias("reviewer_id"), (F.col("vec_id") % 3 + 1).alias("capacity"))
-    return R.greedy_assignment(_ranked(spark, d).select("paper_id", "reviewer_id", "score"), caps)
+    return R.greedy_assignment(_ranked(spark, d, papers=papers).select("paper_id", "reviewer_id", "score"), caps)
 
 
 @query()
-def learned_ranker_oof(spark, d):
+def learned_ranker_oof(spark, d, papers=FIRST):
     """L01-L08."""
-    rows = _signals(spark, d).join(_truth(spark, d).withColumn("label", F.lit(1)), ["paper_id", "reviewer_id"], "left").na.fill(0, ["label"])
+    rows = _signals(spark, d, papers=papers).join(_truth(spark, d, papers=papers).withColumn("label", F.lit(1)), ["paper_id", "reviewer_id"], "left").na.fill(0, ["label"])
     out = L.out_of_fold(L.dataset(rows, ["semantic", "kg", "profile"]), ["semantic", "kg", "profile"], iterations=5)
     return out.select("paper_id", "reviewer_id", "label", "fold", F.round("prediction_score", 6).alias("score"))
 
@@ -554,19 +557,19 @@ def citation_weighted_similarity(spark, d):
 
 @query(RANKED + """SELECT r.paper_id, r.reviewer_id, rank, round(score, 6) score, 'topic ' || ea.label title, 'group ' || eb.label AS "name", ea.label = eb.label in_truth
 FROM r JOIN embeddings ea ON ea.vec_id = r.paper_id JOIN embeddings eb ON eb.vec_id = r.reviewer_id WHERE rank <= 3""")
-def results_table(spark, d):
+def results_table(spark, d, papers=FIRST):
     """The top three of each paper with titles, names and the truth."""
     e = table(spark, d, "embeddings")
     titles = e.select(F.col("vec_id").alias("paper_id"), F.concat(F.lit("topic "), "label").alias("title"))
     names = e.select(F.col("vec_id").alias("reviewer_id"), F.concat(F.lit("group "), "label").alias("name"))
-    return X.results_table(_ranked(spark, d), titles, names, _truth(spark, d), 3).select("paper_id", "reviewer_id", "rank", F.round("score", 6).alias("score"), "title", "name", "in_truth")
+    return X.results_table(_ranked(spark, d, papers=papers), titles, names, _truth(spark, d, papers=papers), 3).select("paper_id", "reviewer_id", "rank", F.round("score", 6).alias("score"), "title", "name", "in_truth")
 
 
 @query(SIGNALS + """, f AS (SELECT *, 0.6 * base + 0.3 * kg + 0.1 * profile sc FROM g WHERE (paper_id + reviewer_id) % 11 <> 0), y AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(sc, 9) DESC, reviewer_id) rk FROM f)
 SELECT paper_id, reviewer_id, round(sc, 6) score, rk rank FROM y WHERE rk <= 10""")
-def fusion_quality_coi(spark, d):
+def fusion_quality_coi(spark, d, papers=FIRST):
     """Fused scores ranked after the pairs in conflict have gone."""
-    rows = _signals(spark, d)
+    rows = _signals(spark, d, papers=papers)
     coi = rows.where(F.pmod(F.col("paper_id") + F.col("reviewer_id"), F.lit(11)) == 0).select("paper_id", "reviewer_id", F.lit(0.75).alias("coi_score"), F.lit(False).alias("flagged"))
     rows = R.without_conflicts(rows, coi).withColumn("score", 0.6 * F.col("base") + 0.3 * F.col("kg") + 0.1 * F.col("profile"))
     return rows.withColumn("rank", S.rank_by(F.col("score"), F.col("reviewer_id"), by=["paper_id"])).where("rank <= 10").select("paper_id", "reviewer_id", F.round("score", 6).alias("score"), "rank")
@@ -575,10 +578,10 @@ def fusion_quality_coi(spark, d):
 @query(SIGNALS + """, x AS (SELECT *, reviewer_id % 40 h, CASE reviewer_id % 3 WHEN 0 THEN 'expert' WHEN 1 THEN 'moderate' ELSE 'fresher' END AS role FROM g), a AS (SELECT *, CASE WHEN semantic < 0.4 THEN base * 0.75 ELSE base END s1 FROM x),
 b AS (SELECT *, CASE WHEN h <= 2 THEN s1 * 0.68 ELSE s1 END s2 FROM a), c AS (SELECT *, CASE WHEN role = 'fresher' THEN greatest(s2, 0.58 * semantic) ELSE s2 END s3 FROM b)
 SELECT paper_id, reviewer_id, role, round(least(greatest(CASE WHEN role = 'expert' THEN s3 + 0.05 ELSE s3 END, 0), 1), 6) score FROM c""")
-def score_policy(spark, d):
+def score_policy(spark, d, papers=FIRST):
     """penalties and bonuses in their order."""
     role = F.when(F.col("reviewer_id") % 3 == 0, "expert").when(F.col("reviewer_id") % 3 == 1, "moderate").otherwise("fresher")
-    rows = _signals(spark, d).withColumn("role", role)
+    rows = _signals(spark, d, papers=papers).withColumn("role", role)
     return rows.select("paper_id", "reviewer_id", "role", F.round(S.policy(F.col("base"), F.col("semantic"), F.col("reviewer_id") % 40, F.col("role")), 6).alias("score"))
 
 
@@ -586,10 +589,10 @@ def score_policy(spark, d):
 w AS (SELECT i.paper_id, avg(1 - CASE (i.a = j.a)::INT + (i.b = j.b)::INT WHEN 2 THEN 1.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE / 3 ELSE 0 END) dissimilarity FROM best i JOIN best j ON i.paper_id = j.paper_id AND i.r < j.r GROUP BY 1),
 tok AS (SELECT paper_id, tk, count(*) n FROM (SELECT paper_id, 'a' || a tk FROM best UNION ALL SELECT paper_id, 'b' || b FROM best) GROUP BY 1, 2), sh AS (SELECT paper_id, n::DOUBLE / sum(n) OVER (PARTITION BY paper_id) q FROM tok), e AS (SELECT paper_id, -sum(q * log2(q)) / log2(greatest(2, count(*))::DOUBLE) entropy FROM sh GROUP BY 1)
 SELECT paper_id, round(dissimilarity, 6) dissimilarity, round(entropy, 6) entropy FROM (SELECT DISTINCT paper_id FROM best) LEFT JOIN w USING (paper_id) LEFT JOIN e USING (paper_id)""")
-def panel_pairwise_diversity(spark, d):
+def panel_pairwise_diversity(spark, d, papers=FIRST):
     """Over the best candidate of each role."""
     best = S.rank_by(F.col("base"), F.col("reviewer_id"), by=["paper_id", "slot"])
-    rows = _signals(spark, d).withColumn("slot", F.col("reviewer_id") % 3).withColumn("n", best).where("n = 1")
+    rows = _signals(spark, d, papers=papers).withColumn("slot", F.col("reviewer_id") % 3).withColumn("n", best).where("n = 1")
     terms = F.array(F.concat(F.lit("a"), F.col("reviewer_id") % 7), F.concat(F.lit("b"), F.col("reviewer_id") % 5))
     return E.pairwise_diversity(rows.select("paper_id", "slot", terms.alias("tokens"))).select("paper_id", F.round("dissimilarity", 6).alias("dissimilarity"), F.round("entropy", 6).alias("entropy"))
 
@@ -599,3 +602,11 @@ def availability_penalty(spark, d):
     """scores lowered by the share of the capacity that is used."""
     p = R.authority(_people(spark, d))
     return p.select("reviewer_id", F.round(S.available(F.col("authority"), F.col("reviewer_id") % 16, F.col("capacity")), 6).alias("score"))
+
+
+# ---- the same over a growing set of papers, every 50th id
+
+for _name in ("vector_topk", "ranking_quality", "ranking_quality_by_k", "map_conditional", "hit_rate_at_k", "coverage_at_k", "normalisations", "rrf_fusion", "fusion_modes", "fusion_weight_grid", "score_contributions", "weighted_scores", "paired_t_statistic", "panel_role_balanced", "assign_greedy_capacity", "learned_ranker_oof", "results_table", "fusion_quality_coi", "score_policy", "panel_pairwise_diversity"):
+    QUERIES[f"{_name}_every50"] = partial(QUERIES[_name], papers=EVERY_50TH)
+    if _name in SQL:
+        SQL[f"{_name}_every50"] = SQL[_name].replace(FIRST, EVERY_50TH)
