@@ -110,9 +110,11 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
     a group), so the pairs grow with the members and not with their square. Where a bucket
     holds members unlike its centre, a small one (``SMALL`` members at most, so no member
     meets more) is compared throughout, but for what centres have linked already; the members of a large one are dealt again by longer
-    keys, which only closer sets share, and compared in the same way. After the longest keys
+    keys, which only closer sets share, and compared in the same way. By the longest keys
     ``LAST`` members are still few; what is unlike the centre of a larger bucket then forms
-    a bucket of its own, until none is left.
+    a bucket of its own, until none is left. All members of these larger buckets, like their
+    centre or not, also meet by the rarest elements of their sets where nothing has linked
+    them yet; no pair of similarity ``threshold`` escapes that join.
     """
     from pyspark.sql import Window
 
@@ -133,10 +135,18 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
         both = F.array(F.struct(as_set(F.col("ga")).alias("x"), as_set(F.col("gb")).alias("y")))
         return pairs.join(left, "a").join(right, "b").where(F.exists(both, enough)).select("a", "b")
 
+    def prefixes(ids: DataFrame, sets: DataFrame) -> DataFrame:
+        """``(id, g, n)``: the rarest elements of each set of n; two sets of similarity ``threshold`` or more share one of them."""
+        each = sets.join(ids, "id", "left_semi").select("id", F.explode(as_set(F.col("grams"))).alias("g")).select("id", F.xxhash64("g").alias("g"))
+        own = Window.partitionBy("id")
+        order = each.join(each.groupBy("g").agg(F.count("*").alias("often")), "g")
+        order = order.withColumns({"n": F.count("*").over(own), "at": F.row_number().over(own.orderBy("often", "g"))})
+        return order.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "g", "n")
+
     ends = [F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")]
     edges: list[DataFrame] = []
     small: list[DataFrame] = []
-    everything, rows, level = None, buckets, 0
+    everything, rest, rows, level = None, None, buckets, 0
     while True:
         cand = checkpoint(stars(rows))
         if everything is None:
@@ -146,10 +156,12 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
         judged = cand.select("key", "id", *ends).join(like.withColumn("like", F.lit(1)), ["a", "b"], "left").select("key", "id", F.coalesce("like", F.lit(0)).alias("like"))
         found = judged.groupBy("key").agg(F.count("*").alias("m"), F.sum("like").alias("s")).where("m > 1 and s < m").select("key", "m")
         judged = checkpoint(judged.join(found, "key").select("key", "id", "like", "m"))
-        most = SMALL if level <= len(tighter) else LAST
+        most = SMALL if level < len(tighter) else LAST
         small.append(judged.where(F.col("m") <= most).select(F.xxhash64(F.lit(level), "key").alias("key"), "id"))
         many = judged.where(F.col("m") > most)
         done = many.isEmpty()
+        if not done and level == len(tighter):
+            rest = checkpoint(many.select("id").distinct())
         if not done and level < len(tighter):
             sets = checkpoint(sets.join(many.select("id").distinct(), "id", "left_semi"))
             rows = tighter[level](sets)
@@ -160,6 +172,12 @@ def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold:
             known = components(reduce(DataFrame.unionByName, edges).select(F.col("a").alias("src"), F.col("b").alias("dst")))
             few = reduce(DataFrame.unionByName, small).join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             other = few.select("key", F.col("id").alias("c"), F.col("comp").alias("far"))
-            more = alike(few.join(other, "key").where("id > c and comp <> far").select(*ends).distinct(), everything)
+            more = checkpoint(alike(few.join(other, "key").where("id > c and comp <> far").select(*ends).distinct(), everything))
+            if rest is not None:
+                linked = checkpoint(components(reduce(DataFrame.unionByName, edges + [more]).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+                near = checkpoint(prefixes(rest, everything).join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+                far = near.select("g", F.col("id").alias("c"), F.col("n").alias("m"), F.col("comp").alias("far"))
+                fit = F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9
+                more = more.unionByName(alike(near.join(far, "g").where((F.col("id") > F.col("c")) & (F.col("comp") != F.col("far")) & fit).select(*ends).distinct(), everything))
             spokes = known.where("node <> comp").select(F.col("node").alias("src"), F.col("comp").alias("dst"))
             return checkpoint(spokes.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from panelspark.llm import lines
+from panelspark.llm import common, lines
 
 
 def near_lines(rng, n):
@@ -27,3 +28,13 @@ def test_longer_line_keys_bring_near_lines_together(spark, level):
     keys = got.groupby("id").key.agg(set)
     met = sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(pairs)))
     assert met >= 0.97 * len(pairs)
+
+
+@pytest.mark.parametrize("last", [256, 30])
+def test_large_mixed_buckets_link_members_beside_the_centres_group(spark, monkeypatch, last):
+    """A chain in one bucket of 40: each set is like the next one only, so no link is spare; 30 leaves it above LAST."""
+    monkeypatch.setattr(common, "LAST", last)
+    sets = spark.createDataFrame([(i, list(range(i, i + 9))) for i in range(40)], "id long, grams array<long>")
+    edges = common.link(sets.select(F.lit(1).cast("long").alias("key"), "id"), lambda ids: sets.join(ids, "id", "left_semi"), 0.8, [lambda s: s.select(F.lit(2).cast("long").alias("key"), "id")])
+    got = common.components(edges).collect()
+    assert len(got) == 40 and {r.comp for r in got} == {0}
