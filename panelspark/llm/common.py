@@ -1,42 +1,54 @@
-"""Helpers that the text operators share: checkpoints, membership bits, components, pair linking."""
+"""Helpers that the text operators share: tables between steps, membership bits, components, linking of similar members."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of the fixed-size membership filter (512 KB); beyond what it can tell apart it only passes more rows.
 FILTER_BITS = 1 << 22
-#: Members up to which a bucket is compared throughout.
+#: Members up to which a mixed bucket is compared throughout; the members of larger ones meet by their rarest elements.
 SMALL = 16
-#: The same for buckets by the longest keys, whose members are mostly close.
-LAST = 256
+#: Counters of how often elements occur, a byte each: they only order the elements, so collisions cost speed and no link.
+SLOTS = 1 << 14
+#: 64-bit words of parities that rule out most pairs of unlike sets before the sets are fetched.
+PARITIES = 8
+#: Which centre a bucket has depends on its key: a large group is held against as many different members.
+SEEDS = (0, 0x5DEECE66D1234567, 0x2545F4914F6CDD1D, 0x1B873593CC9E2D51)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, so that it survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    out = df.checkpoint(eager=True)
-    # what the rounds before have shuffled is garbage by now; it leaves the disks when the driver's collector finds it
-    gc.collect()
-    sc._jvm.System.gc()
-    return out
+@lru_cache(maxsize=1)
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="panelspark-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, and an error on a cluster."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if top is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (top or _own_folder()).rstrip("/")
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder: for wide rows, which take far less room so than in a checkpoint."""
+    """``df`` as a Parquet table in the shared folder: it ends the lineage and survives lost executors.
+
+    What the write has shuffled leaves the disks when the write ends.
+    """
     spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tables-")
-    path = f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,7 +68,7 @@ def member_bits(ids: DataFrame, name: str) -> DataFrame:
     full = full.groupBy("w").agg(F.bit_or("b").alias("b"))
     dense = ids.sparkSession.range(words).withColumnRenamed("id", "w").join(full, "w", "left").select("w", F.coalesce("b", F.lit(0)).alias("b"))
     packed = dense.agg(F.transform(F.sort_array(F.collect_list(F.struct("w", "b"))), lambda x: x["b"]).alias("bits"))
-    return checkpoint(packed)
+    return written(packed)
 
 
 def may_contain(bits: DataFrame, value: Column) -> Column:
@@ -87,97 +99,105 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
 
-    now = checkpoint(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct())
+    now = written(edges.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct())
     was = state(now)
     while was[0]:
-        now = checkpoint(star(star(now, True), False))
+        now = written(star(star(now, True), False))
         got = state(now)
         if got == was:
             break
         was = got
-    roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("comp"))
-    return now.select(F.col("src").alias("node"), F.col("dst").alias("comp")).unionByName(roots).distinct()
-
-
-def link(buckets: DataFrame, grams: Callable[[DataFrame], DataFrame], threshold: float, tighter: list[Callable[[DataFrame], DataFrame]], as_set: Callable[[Column], Column] = lambda grams: grams) -> DataFrame:
-    """Edges ``(src, dst)`` that connect whatever links of Jaccard similarity ``threshold`` or more connect, among members of one bucket.
-
-    ``buckets(key, id)``: ids of different texts. ``grams`` takes a frame of ids and returns
-    ``(id, grams)`` for them; ``as_set`` makes an array of distinct elements of grams.
-    ``tighter``: functions that deal such a frame into buckets with ever longer keys.
-
-    Every member is compared with the centre of its bucket (two centres serve all bands of
-    a group), so the pairs grow with the members and not with their square. Where a bucket
-    holds members unlike its centre, a small one (``SMALL`` members at most, so no member
-    meets more) is compared throughout, but for what centres have linked already; the members of a large one are dealt again by longer
-    keys, which only closer sets share, and compared in the same way. By the longest keys
-    ``LAST`` members are still few; what is unlike the centre of a larger bucket then forms
-    a bucket of its own, until none is left. All members of these larger buckets, like their
-    centre or not, also meet by the rarest elements of their sets where nothing has linked
-    them yet; no pair of similarity ``threshold`` escapes that join.
+    roots = now.select(F.col("dst").alias("node"), F.col("dst").alias("comp")).distinct()
+    return now.select(F.col("src").alias("node"), F.col("dst").alias("comp")).unionByName(roots)
+
+
+def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b)`` whose ``sets(id, grams)``, arrays of distinct elements, have a Jaccard similarity of ``threshold`` or more.
+
+    The sets of ``a`` travel with the pairs, so ``a`` should be the side that occurs in many.
+    """
+    left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    na, nb = F.size("ga"), F.size("gb")
+    fit = F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9  # the sizes alone rule many out
+    enough = F.when(fit, F.size(F.array_intersect("ga", "gb")) * (1 + threshold) >= (na + nb) * threshold - 1e-9).otherwise(False)
+    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+
+
+def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
+    """``rows(id, ..., grams)`` with ``n`` and a row for each ``g`` of a set's rarest elements: two sets of similarity ``threshold`` or more share one.
+
+    Rarity comes from ``SLOTS`` counters over a sixteenth of the sets: any one order of the
+    elements misses no pair, and what is frequent shows in the sample too. The driver gets
+    the counters, whose number is fixed, and sends them on as a byte each.
+    """
+    slot = lambda g: F.pmod(F.xxhash64(g), F.lit(SLOTS)).cast("int")
+    some = rows.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).select(F.explode("grams").alias("g"))
+    level = bytearray(SLOTS)
+    for s, k in some.groupBy(slot(F.col("g")).alias("s")).agg(F.count("*").alias("k")).collect():
+        level[s] = min(255, k if k < 128 else 120 + k.bit_length())
+    n = F.size("grams")
+    order = F.sort_array(F.transform("grams", lambda g: F.struct(F.substring(F.lit(bytes(level)), slot(g) + 1, F.lit(1)).alias("k"), F.xxhash64(g).alias("h"), g.alias("g"))))
+    first = F.slice(order, F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
+    each = rows.withColumns({"n": n, "first": F.transform(first, lambda x, i: F.struct(x["g"].alias("g"), i.alias("at")))})
+    return each.select(*[c for c in rows.columns if c != "grams"], "n", F.explode("first").alias("x")).select("*", "x.g", "x.at").drop("x")
+
+
+def parities(grams: Column) -> Column:
+    """``PARITIES`` longs whose bits tell whether an odd number of elements fall on them: two sets differ by as many elements as bits, at least."""
+    bit = lambda g: F.pmod(F.xxhash64(g, F.lit(1)), F.lit(64 * PARITIES)).cast("int")
+    none = F.lit(0).cast("long")
+
+    def word(w: int) -> Column:
+        mask = lambda g: F.when(F.shiftright(bit(g), 6) == w, F.call_function("shiftleft", F.lit(1).cast("long"), bit(g).bitwiseAND(63))).otherwise(none)
+        return F.aggregate(grams, none, lambda acc, g: acc.bitwiseXOR(mask(g))).alias(f"p{w}")
+
+    return F.struct(*map(word, range(PARITIES)))
+
+
+def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, small: int = SMALL) -> DataFrame:
+    """Components ``(node, comp)`` of the links of similarity ``threshold`` or more among members of one bucket; unlinked ids may have no row.
+
+    ``buckets(key, id)``: 64-bit names of different sets, each once in a bucket. ``sets_of``
+    takes a frame of ids and returns ``(id, grams)`` with their sets.
+
+    Every member is compared with the centre of its bucket, so the pairs grow with the
+    members and not with their square; four kinds of keys take different centres. What is
+    linked forms components, and only links between components can matter from there on.
+    Buckets that hold several are compared throughout if they are small, between
+    components only. The members of larger ones meet by the rarest elements of their sets,
+    which no pair of the threshold escapes, again between components only: where a component
+    makes up most of those who share an element, its members aren't paired with each other.
+    No link inside a bucket is missed, whatever its size.
     """
-    from pyspark.sql import Window
-
-    def stars(rows: DataFrame) -> DataFrame:
-        """Members beside their bucket's centre; the running first value keeps no bucket in memory."""
-        by = Window.partitionBy("key").orderBy(F.xxhash64("id", F.pmod("key", F.lit(2))), "id").rowsBetween(Window.unboundedPreceding, 0)
-        return rows.withColumn("c", F.first("id").over(by)).where("id <> c")
-
-    def alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-
-        def enough(p: Column) -> Column:
-            na, nb = F.size(p["x"]), F.size(p["y"])
-            fit = F.least(na, nb) >= F.greatest(na, nb) * threshold  # the sizes alone rule many out
-            return F.when(fit, F.size(F.array_intersect(p["x"], p["y"])) * (1 + threshold) >= (na + nb) * threshold - 1e-9).otherwise(False)
-
-        # a lambda over one struct: the sets are made once for a pair
-        both = F.array(F.struct(as_set(F.col("ga")).alias("x"), as_set(F.col("gb")).alias("y")))
-        return pairs.join(left, "a").join(right, "b").where(F.exists(both, enough)).select("a", "b")
-
-    def prefixes(ids: DataFrame, sets: DataFrame) -> DataFrame:
-        """``(id, g, n)``: the rarest elements of each set of n; two sets of similarity ``threshold`` or more share one of them."""
-        each = sets.join(ids, "id", "left_semi").select("id", F.explode(as_set(F.col("grams"))).alias("g")).select("id", F.xxhash64("g").alias("g"))
-        own = Window.partitionBy("id")
-        order = each.join(each.groupBy("g").agg(F.count("*").alias("often")), "g")
-        order = order.withColumns({"n": F.count("*").over(own), "at": F.row_number().over(own.orderBy("often", "g"))})
-        return order.where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("id", "g", "n")
-
-    ends = [F.least("id", "c").alias("a"), F.greatest("id", "c").alias("b")]
-    edges: list[DataFrame] = []
-    small: list[DataFrame] = []
-    everything, rest, rows, level = None, None, buckets, 0
-    while True:
-        cand = checkpoint(stars(rows))
-        if everything is None:
-            everything = sets = checkpoint(grams(cand.select("id").unionByName(cand.select(F.col("c").alias("id"))).distinct()))
-        like = checkpoint(alike(cand.select(*ends).distinct(), sets))
-        edges.append(like)
-        judged = cand.select("key", "id", *ends).join(like.withColumn("like", F.lit(1)), ["a", "b"], "left").select("key", "id", F.coalesce("like", F.lit(0)).alias("like"))
-        found = judged.groupBy("key").agg(F.count("*").alias("m"), F.sum("like").alias("s")).where("m > 1 and s < m").select("key", "m")
-        judged = checkpoint(judged.join(found, "key").select("key", "id", "like", "m"))
-        most = SMALL if level < len(tighter) else LAST
-        small.append(judged.where(F.col("m") <= most).select(F.xxhash64(F.lit(level), "key").alias("key"), "id"))
-        many = judged.where(F.col("m") > most)
-        done = many.isEmpty()
-        if not done and level == len(tighter):
-            rest = checkpoint(many.select("id").distinct())
-        if not done and level < len(tighter):
-            sets = checkpoint(sets.join(many.select("id").distinct(), "id", "left_semi"))
-            rows = tighter[level](sets)
-        elif not done:
-            rows = many.where("like = 0").select("key", "id")
-        level += 1
-        if done:
-            known = components(reduce(DataFrame.unionByName, edges).select(F.col("a").alias("src"), F.col("b").alias("dst")))
-            few = reduce(DataFrame.unionByName, small).join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            other = few.select("key", F.col("id").alias("c"), F.col("comp").alias("far"))
-            more = checkpoint(alike(few.join(other, "key").where("id > c and comp <> far").select(*ends).distinct(), everything))
-            if rest is not None:
-                linked = checkpoint(components(reduce(DataFrame.unionByName, edges + [more]).select(F.col("a").alias("src"), F.col("b").alias("dst"))))
-                near = checkpoint(prefixes(rest, everything).join(linked.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-                far = near.select("g", F.col("id").alias("c"), F.col("n").alias("m"), F.col("comp").alias("far"))
-                fit = F.least("n", "m") >= F.greatest("n", "m") * threshold - 1e-9
-                more = more.unionByName(alike(near.join(far, "g").where((F.col("id") > F.col("c")) & (F.col("comp") != F.col("far")) & fit).select(*ends).distinct(), everything))
-            spokes = known.where("node <> comp").select(F.col("node").alias("src"), F.col("comp").alias("dst"))
-            return checkpoint(spokes.unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))))
+    seed = F.element_at(F.array(*map(F.lit, SEEDS)), (F.pmod(F.col("key"), F.lit(len(SEEDS))) + 1).cast("int"))
+    ends = buckets.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.min(F.col("id").bitwiseXOR(seed)).alias("c")).where("m > 1")
+    ends = ends.select("key", "m", F.when(F.col("m") <= 3, F.col("low")).otherwise(F.col("c").bitwiseXOR(seed)).alias("c"))
+    member = written(buckets.join(ends, "key"))
+    sets = written(sets_of(member.select("id").distinct()))
+    pairs = member.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    first = components(alike(pairs, sets, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+
+    named = member.where("m > 2").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    mixed = written(named.join(several, "key"))
+    few = mixed.where((F.col("m") <= small) & (F.col("id") != F.col("c"))).select("key", "id", "comp")
+    other = few.select("key", F.col("id").alias("to"), F.col("comp").alias("far"))
+    cross = few.join(other, "key").where("id < to and comp <> far").select(F.col("id").alias("a"), F.col("to").alias("b"), F.col("comp").alias("src"), F.col("far").alias("dst"))
+    many = mixed.where(F.col("m") > small).select("id", "comp").distinct()
+    if not many.isEmpty():
+        near = written(prefixes(sets.join(many, "id").withColumn("odd", parities(F.col("grams"))), threshold))
+        per = near.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
+        near = near.join(per.where("comps > 1").select("g", F.col("top.comp").alias("top")), "g")
+        there = near.select("g", F.col("id").alias("to"), F.col("n").alias("m"), F.col("at").alias("at2"), F.col("odd").alias("odd2"), F.col("comp").alias("far"), (F.col("comp") == F.col("top")).alias("main"))
+        # what two sets must share; what follows a shared element, and the parities, bound it
+        least = (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9
+        unlike = sum((F.bit_count(F.col(f"odd.p{w}").bitwiseXOR(F.col(f"odd2.p{w}"))) for w in range(PARITIES)), F.lit(0))
+        fit = (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at2")) >= least) & (F.col("n") + F.col("m") - unlike >= 2 * least)
+        meet = near.where("comp <> top").join(there, "g").where(F.expr("comp <> far and (main or id < to)") & fit)
+        cross = cross.unionByName(meet.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), F.when(F.col("id") < F.col("to"), F.col("comp")).otherwise(F.col("far")).alias("src"), F.when(F.col("id") < F.col("to"), F.col("far")).otherwise(F.col("comp")).alias("dst")))
+    cross = written(cross.distinct())
+    more = alike(cross.select("a", "b"), sets, threshold)
+    second = components(cross.join(more, ["a", "b"]).select("src", "dst"))
+    nodes = first.unionByName(second.join(first, "node", "left_anti").select("node", F.col("node").alias("comp")))
+    last = second.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
+    return written(nodes.join(last, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))

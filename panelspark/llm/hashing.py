@@ -57,11 +57,6 @@ class Grams:
             return mix((sums[k:] - sums[:-k]) * self.down[: n - k + 1] + np.uint64(k))
 
 
-def shingles(words: np.ndarray, grams: Grams, k: int = 5) -> np.ndarray:
-    """The set of k-word shingles, ascending; a shorter text is one shingle of all its words, an empty one has none."""
-    return np.unique(grams(words, min(k, len(words)))) if len(words) else np.zeros(0, np.uint64)
-
-
 def darts(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray, owners: int, k: int) -> np.ndarray:
     """DartMinHash: ``(owners, k)`` signatures of weighted sets; coordinates agree with the chance of their weighted Jaccard similarity.
 

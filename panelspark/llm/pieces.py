@@ -8,10 +8,11 @@ all their substrings of 1, 2, ... characters probe the sorted keys of all pieces
 of bits rules most out first), and one character a step the maxima over the pieces that
 end there give scores and backpointers;
 of equal sums the longest last piece wins. A character that no piece covers becomes its
-UTF-8 bytes. Decoding joins pieces and bytes, and gives back every text of valid
+UTF-8 bytes, and so does a ``▁`` of the text itself. Decoding joins pieces and bytes, and gives back every text of valid
 characters exactly; ids outside the vocabulary and control pieces decode to nothing.
 
 Nulls: a null text encodes like an empty one, to no pieces; null ids decode to an empty text.
+Rows may repeat; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from .hashing import BASE
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Stands for a ``▁`` of the text itself: no text of valid characters holds it, no piece covers it, so it becomes bytes.
+OWN = "\udfff"
 PART = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 #: Score of a character without a piece, below any sum of pieces of a word.
 UNKNOWN = -1e7
@@ -63,7 +66,7 @@ class Pieces:
             self.byte_id[b] = i
         plain = [i for i in range(n) if i not in byte and not sp.is_control(i) and not sp.is_unknown(i) and not sp.is_unused(i)]
         shown = set(plain)
-        parts = [bytes([byte[i]]) if i in byte else names[i].encode() if i in shown else b"" for i in range(n)]
+        parts = [bytes([byte[i]]) if i in byte else names[i].replace(SPACE, " ").encode() if i in shown else b"" for i in range(n)]
         self.part_sizes = np.array([len(p) for p in parts], np.int64)
         self.part_starts = np.cumsum(self.part_sizes) - self.part_sizes
         self.parts = np.frombuffer(b"".join(parts), np.uint8)
@@ -145,7 +148,7 @@ class Pieces:
             if i in odd:
                 out, at = [], 0
                 for x in ids:
-                    out += [x] if x >= 0 else self.byte_id[list(word[at].encode("utf-8", "replace"))].tolist()
+                    out += [x] if x >= 0 else self.byte_id[list((SPACE if word[at] == OWN else word[at]).encode("utf-8", "replace"))].tolist()
                     at += len(self.names[x]) if x >= 0 else 1
                 ids = out
             flat += ids
@@ -153,7 +156,7 @@ class Pieces:
         return np.array(flat, np.int64), np.array(sizes, np.int64)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        parts = [PART.findall((SPACE if self.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        parts = [PART.findall((SPACE if self.prefix else "") + t.replace(SPACE, OWN).replace(" ", SPACE)) if t else [] for t in texts]
         if len(self.seen) > KEPT:
             self._forget()
         by: dict[int, list[str]] = {}
@@ -179,7 +182,7 @@ class Pieces:
         ids = np.asarray([] if ids is None else ids, np.int64)
         if len(ids) and not (0 <= ids.min() and ids.max() < len(self.is_byte)):
             ids = ids[(ids >= 0) & (ids < len(self.is_byte))]
-        text = gather(self.parts, self.part_starts[ids], self.part_sizes[ids]).tobytes().decode("utf-8", "replace").replace(SPACE, " ")
+        text = gather(self.parts, self.part_starts[ids], self.part_sizes[ids]).tobytes().decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 

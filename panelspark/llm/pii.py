@@ -1,12 +1,15 @@
 """Personal data: base patterns and information-theoretic sanitisation, with DataFrame functions only.
 
 The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers; their
-distinct values are the protected entities. A term (a word of ``TERM_LENGTH`` letters or
-more) discloses an entity by the share of the entity's information that it gives away:
-``PMI(term, entity) / IC(entity)``, estimated from lines, with
-``PMI = log(n(t,e) N / (n(t) n(e)))`` and ``IC = log(N / n(e))`` over the different lines of
-the whole corpus. A term met with an entity in ``SUPPORT`` different lines or more whose
-share reaches ``GENERALISE`` is a span of kind ``term``, wherever it occurs: it is
+distinct values are the protected entities, and so are the groups they belong to (an
+e-mail address's domain, the first three parts of an address, the first six digits of a
+card, the first four of a phone number): most values occur once, their groups don't. A
+term (a word of ``TERM_LENGTH`` letters or more) discloses an entity by the share of the
+entity's information that it gives away: ``PMI(term, entity) / IC(entity)``, with
+``PMI = log(n(t,e) N / (n(t) n(e)))`` and ``IC = log(N / n(e))`` over the different
+segments of the whole corpus. A segment is a line, or each ``SEGMENT`` words of a longer
+one, so that what meets in one is bounded. A term met with an entity in ``SUPPORT``
+different segments or more (once may be chance) whose share reaches ``GENERALISE`` is a span of kind ``term``, wherever it occurs: it is
 generalised to ``[TERM]`` or, from ``REMOVE`` on, removed. Base spans become ``[KIND]``.
 
 Offsets are code points, ends exclusive. Matches that fail a check (part over 255, Luhn,
@@ -18,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, may_contain, member_bits
+from .common import written, may_contain, member_bits
 
 # The kinds in their order; possessive, which matches the same and cannot run out of stack.
 PATTERNS = {
@@ -29,7 +32,9 @@ PATTERNS = {
 }
 #: What a text needs for a match of the kind: cheap to look for.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-TERM_LENGTH, SUPPORT, GENERALISE, REMOVE = 4, 3, 0.8, 0.95
+TERM_LENGTH, SUPPORT, GENERALISE, REMOVE = 4, 2, 0.8, 0.95
+SEGMENT = 64
+SEGMENTS = r"(?:\S++[^\S\n]*+){1,%d}+" % SEGMENT
 TERM = r"\p{L}{%d,}+" % TERM_LENGTH
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
@@ -76,33 +81,39 @@ def base_spans(text: Column) -> Column:
     return F.when(F.rlike(text, F.lit(r"[0-9@]")), F.concat(*each)).otherwise(none)
 
 
+def _group(kind: Column, hit: Column) -> Column:
+    """What an entity has in common with others of its kind."""
+    digits = _digits(hit)
+    return F.when(kind == 0, F.lower(F.substring_index(hit, "@", -1))).when(kind == 1, F.substring_index(hit, ".", 3)).when(kind == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+
+
 def terms(docs: DataFrame) -> DataFrame:
     """``(term, removed boolean)``: the terms of the corpus that disclose an entity, and whether they go altogether."""
-    line = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    line = docs.select(F.explode(F.regexp_extract_all("text", F.lit(SEGMENTS), F.lit(0))).alias("line"))
     words = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(TERM), F.lit(0)), F.lower))
     masked = F.col("line")
     for p in PATTERNS.values():
         masked = F.regexp_replace(masked, F.lit(p), F.lit(" "))
     found = line.where(F.rlike("line", F.lit(r"[0-9@]"))).withColumn("spans", base_spans(F.col("line"))).where(F.size("spans") > 0)
-    seen = found.select(F.xxhash64("line").alias("line"), words(masked).alias("terms"), F.explode(F.array_distinct(F.transform("spans", lambda x: F.xxhash64(x["kind"], x["hit"])))).alias("entity"))
-    seen = checkpoint(seen.distinct())
-    total = F.lit(float(max(line.count(), 2)))
+    seen = found.select(F.xxhash64("line").alias("line"), words(masked).alias("terms"), F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.array(F.xxhash64(x["kind"], x["hit"]), F.xxhash64(x["kind"] - 10, _group(x["kind"], x["hit"]))))))).alias("entity"))
+    seen = written(seen.distinct())
+    total = F.lit(float(max(line.select(F.xxhash64("line").alias("line")).distinct().count(), 2)))
     both = seen.select("entity", "line", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
     entity = seen.groupBy("entity").agg(F.count("*").alias("ne"))
     # exact bound: a term in more lines than this cannot reach the threshold, and those beside entities are known
     most = F.col("both") * F.pow(total / F.col("ne"), F.lit(1 - GENERALISE)) + 1
     known = seen.select("line", "terms").distinct().select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("known"))
-    both = checkpoint(both.join(entity, "entity").join(known, "term").where(F.col("known") <= most).select("term", "both", "ne"))
+    both = written(both.join(entity, "entity").join(known, "term").where(F.col("known") <= most).select("term", "both", "ne"))
     none = docs.sparkSession.createDataFrame([], "term string, removed boolean")
     if both.isEmpty():
         return none
-    names = checkpoint(both.select("term").distinct())
+    names = written(both.select("term").distinct())
     bits = member_bits(names, "term")
     met = line.select(F.xxhash64("line").alias("line"), F.explode(words(F.col("line"))).alias("term")).where(may_contain(bits, F.col("term"))).join(names, "term").distinct()
     nt = met.groupBy("term").agg(F.count("*").alias("nt"))
     share = F.log(F.col("both") * total / (F.col("nt") * F.col("ne"))) / F.greatest(F.log(total / F.col("ne")), F.lit(1e-9))
     told = both.join(nt, "term").groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE)
-    return checkpoint(told.select("term", (F.col("share") >= REMOVE).alias("removed")))
+    return written(told.select("term", (F.col("share") >= REMOVE).alias("removed")))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -116,7 +127,7 @@ def spans(docs: DataFrame) -> DataFrame:
     # the terms told of in each text; a document without any passes by without a shuffle
     words = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))
     mine = docs.select(F.xxhash64("text").alias("__key"), F.explode(words).alias("term")).where(may_contain(bits, F.col("term")))
-    mine = checkpoint(mine.distinct().join(told, "term").groupBy("__key").agg(F.collect_list(F.struct("term", "removed")).alias("__told")))
+    mine = written(mine.distinct().join(told, "term").groupBy("__key").agg(F.collect_list(F.struct("term", "removed")).alias("__told")))
     here = F.coalesce(may_contain(member_bits(mine, "__key"), F.xxhash64("text")), F.lit(False))
     calm = docs.where(~here).withColumn("__told", F.lit(None).cast("array<struct<term:string,removed:boolean>>"))
     touched = docs.where(here).withColumn("__key", F.xxhash64("text")).join(mine, "__key", "left").drop("__key")

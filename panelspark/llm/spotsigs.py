@@ -2,13 +2,16 @@
 
 Every common word (anchor) starts a chain of the next ``CHAIN`` content words; the set
 of hashed chains is the fingerprint, written as fixed-width hex in ascending order. A
-text with fewer than ``FEW`` anchors chains from every word instead (and a text of
-fewer words than a chain hashes its words as they are), so that only a text without
-words has the empty fingerprint. Two empty fingerprints are alike (1), an empty and a
+text without any chain chains from every word instead (and a text of fewer words than
+a chain hashes its words as they are), so that only a text without words has the empty
+fingerprint. Two empty fingerprints are alike (1), an empty and a
 filled one are not (0).
 
 ``near_classes`` partitions fingerprints by set length, so that only lengths that can
 reach the threshold meet, and prunes the Jaccard comparison by the same bound.
+
+Nulls: a null text is empty; null ids come first and follow one another by text. An empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, components, link
+from .common import linked, prefixes, written
 
 # Common words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -32,7 +35,6 @@ ANCHORS = frozenset(
     "al con de del el en es la las lo los no para por que se su un una y".split()
 )
 CHAIN = 2
-FEW = 4
 WORD = re.compile(r"\w+")
 
 
@@ -44,14 +46,13 @@ def signatures(text: str | None) -> set[int]:
     """The set of hashed chains of ``text``."""
     words = WORD.findall((text or "").lower())
     content = [w not in ANCHORS for w in words]
-    out, ahead, anchors = set(), [], 0
+    out, ahead = set(), []
     for i in range(len(words) - 1, -1, -1):  # from the end: `ahead` holds the next content words, nearest first
         if content[i]:
             ahead = [words[i], *ahead[: CHAIN - 1]]
         elif len(ahead) == CHAIN:
             out.add((words[i], *ahead))
-            anchors += 1
-    if anchors < FEW:
+    if not out:
         n = min(CHAIN + 1, len(words))
         out = {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
         if not out and text and text.strip():
@@ -162,7 +163,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Fingerprints are dealt into length classes whose bounds grow by 1/threshold: a set
     meets its own class and the next only, and there only on the rarest signatures of
-    its prefix; the length bound prunes before sets are compared (``common.link``).
+    its prefix; the length bound prunes before sets are compared (``common.linked``).
     Equal fingerprints collapse first. class_id is the least doc_id of the class.
     """
 
@@ -171,16 +172,13 @@ def near_classes(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
             got = [sorted(signatures(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int64()))], ["doc_id", "sigs"])
 
-    rows = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, sigs array<long>").withColumn("id", F.xxhash64("sigs")))
-    reps = rows.groupBy("id", "sigs").agg(F.min("doc_id").alias("doc_id"))
-    n = F.size("sigs")
-    each = reps.select("id", n.alias("n"), F.explode("sigs").alias("sig"))
-    ranked = each.join(each.groupBy("sig").agg(F.count("*").alias("df")), "sig")
-    short = ranked.groupBy("id", "n").agg(F.slice(F.sort_array(F.collect_list(F.struct("df", "sig"))), 1, (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")).alias("short"))
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sets, "doc_id long, sigs array<long>").withColumn("id", F.xxhash64("sigs")))
+    reps = rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("sigs").alias("grams"))
+    reps = written(reps)
+    near = prefixes(reps.where(F.size("grams") > 0).select("id", "grams"), threshold)
     size = F.floor(F.log("n") / float(-np.log(threshold)))
-    keys = short.select("id", "n", F.explode("short.sig").alias("sig"), F.array(size, size + 1).alias("sizes")).select("id", "n", "sig", F.explode("sizes").alias("size"))
-    known = reps.select("id", F.col("sigs").alias("grams"))
-    edges = link(keys.select(F.xxhash64("sig", "size").alias("key"), "id"), lambda ids: known.join(ids, "id", "left_semi"), threshold, [])
-    comp = reps.select("id", "doc_id").join(components(edges).withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    keys = near.select("id", "g", F.explode(F.array(size, size + 1)).alias("size")).select(F.xxhash64("g", "size").alias("key"), "id")
+    comp = linked(written(keys.distinct()), lambda ids: reps.join(ids, "id", "left_semi").select("id", "grams"), threshold)
+    comp = reps.select("id", "doc_id").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = comp.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     return rows.select("doc_id", "id").join(comp.select("id", "comp"), "id").join(least, "comp").select("doc_id", "class_id")

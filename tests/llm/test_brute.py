@@ -47,6 +47,18 @@ def word_set(text: str, k: int = 5) -> frozenset:
     return frozenset(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))) if w else frozenset()
 
 
+def word_bag(text: str, k: int = 5) -> frozenset:
+    """The shingles with the number of each occurrence: their Jaccard similarity is the weighted one."""
+    w = text.lower().split()
+    seen = Counter()
+    out = set()
+    for i in range(max(1, len(w) - k + 1) if w else 0):
+        g = tuple(w[i : i + k])
+        out.add((g, seen[g]))
+        seen[g] += 1
+    return frozenset(out)
+
+
 def edited(text: str, rate: float, rng: random.Random) -> str:
     return " ".join(f"new{rng.randrange(10**6)}" if rng.random() < rate else w for w in text.split(" "))
 
@@ -60,7 +72,7 @@ def family(texts, rng, rates, size=6):
 
 def test_near_classes_equal_all_pairs(spark, texts):
     rows = [*texts.items(), *family(texts, random.Random(3), [0.0, 0.005, 0.01, 0.02, 0.03])]
-    want = classes_of({i: word_set(t) for i, t in rows}, 0.8)
+    want = classes_of({i: word_bag(t) for i, t in rows}, 0.8)
     got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     assert dict(zip(got.doc_id, got.class_id, strict=True)) == want
     kept = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
@@ -71,7 +83,7 @@ def test_large_mixed_group_is_resolved(spark, texts):
     rng = random.Random(5)
     base = next(t for t in texts if 150 < len(t.split()) < 300)
     rows = [(i, edited(base, rng.choice([0.0, 0.01, 0.02, 0.04, 0.06]), rng)) for i in range(150)]
-    want = classes_of({i: word_set(t) for i, t in rows}, 0.8)
+    want = classes_of({i: word_bag(t) for i, t in rows}, 0.8)
     got = minhash.classes(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     assert dict(zip(got.doc_id, got.class_id, strict=True)) == want
 
@@ -96,8 +108,8 @@ def test_line_removals_equal_all_pairs(spark, texts):
     some = [x for _, t in rows for x in t.split("\n") if len(x.split()) > 25][:6]
     rows += [(10_000 + i, "Own beginning of a text.\n" + edited(some[i % 6], 0.02, rng)) for i in range(30)]
     all_lines = [(d, k, x.strip(" ").lower()) for d, t in rows for k, x in enumerate(t.split("\n"))]
-    distinct = sorted({x for *_, x in all_lines if len(x) >= lines.MIN_CHARS})
-    sets = {x: frozenset(x[i : i + 5] for i in range(len(x) - 4)) for x in distinct}
+    distinct = sorted({x for *_, x in all_lines if x})
+    sets = {x: frozenset(x[i : i + 5] for i in range(max(1, len(x) - 4))) for x in distinct}
     comp = classes_of(sets, 0.8)
     first, want = {}, set()
     for d, k, x in sorted(all_lines):
@@ -210,7 +222,7 @@ def test_shared_passages_are_found(spark, texts):
     rows = [(i, " ".join(word() for _ in range(100 + i)) + " " + " ".join(passage) + ("\n" if i % 2 else " ") + " ".join(word() for _ in range(60))) for i in range(12)]
     rows += [(100 + i, " ".join(word() for _ in range(200))) for i in range(10)]
     got = passages.cut(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
-    assert got.n_removed_words[0] == 0 and (got.n_removed_words[range(1, 12)] >= 25).all() and (got.n_removed_words[range(100, 110)] == 0).all()
+    assert got.n_removed_words[0] == 0 and (got.n_removed_words[range(1, 12)] == 52).all() and (got.n_removed_words[range(100, 110)] == 0).all()
     assert (got.n_clusters[range(12)] > 0).all()
     for d, t in rows:
         spans = [tuple(map(int, s.split(":"))) for s in got.spans[d].split(",") if s]
@@ -226,10 +238,9 @@ def test_near_paragraphs_are_found(spark, texts):
     rows = [(i, f"a{i} b{i} c{i}\n" + edited(paragraph, 0.01, rng)) for i in range(8)]
     sets = {i: word_set(t.split("\n")[1]) for i, t in rows}
     want = classes_of(sets, 0.8)
-    got = passages.repeats(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
-    whole = got[got["first"] == 3]
-    lost = set(whole[whole.lost].doc_id)
-    assert lost >= {i for i, c in want.items() if c != i}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = passages.near_paragraphs(passages.paragraphs(docs), docs, 0.8).toPandas()
+    assert set(got[got.lost].doc_id) == {i for i, c in want.items() if c != i} and (got["first"] == 3).all()
 
 
 def luhn(d: str) -> bool:
@@ -289,7 +300,7 @@ def test_pieces_are_the_best_path(vocabulary, texts):
 
 
 def test_pieces_round_trip(spark, vocabulary, texts):
-    odd = [None, "", " ", "  two  spaces ", "line\n\ttab", "漢字かな 😀 ▁x".replace("▁", ""), "\x00\x01", "a" * 5000, "x" + " " * 40]
+    odd = [None, "", " ", "  two  spaces ", "line\n\ttab", "漢字かな 😀 ▁x", "\x00\x01", "a" * 5000, "x" + " " * 40]
     rows = [*texts.items(), *((1000 + i, t) for i, t in enumerate(odd))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     got = pieces.round_trip(frame).toPandas()

@@ -1,40 +1,165 @@
-"""What the operators must not leave out: pairs in large mixed buckets, rows that share an id, whole passages."""
+"""What the operators must not leave out: links in large mixed buckets, rows that share an id, whole passages, near lines."""
 
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from panelspark.llm import common, lines
+from panelspark.llm import common, html, lines, minhash, passages, pieces, pii
 
 
-def near_lines(rng, n):
-    """Pairs of lines whose 5-character shingles have a similarity of 0.8 to 0.83."""
+def components_of(nodes, links):
+    up = {n: n for n in nodes}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((top(a), top(b)))
+        up[y] = x
+    return {n: top(n) for n in nodes}
+
+
+def near_lines(rng, n, make):
+    """Pairs of lines whose 5-character shingles have a similarity of 0.8 to 0.9."""
     out = []
     while len(out) < n:
-        a = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(100))
-        b = a[:50] + "".join(rng.choice("0123456789") for _ in range(6)) + a[56:]
+        a, b = make(rng)
         x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (a, b))
-        if 0.8 <= len(x & y) / len(x | y) < 0.83:
+        if 0.8 <= len(x & y) / len(x | y) < 0.9:
             out.append((a, b))
     return out
 
 
-@pytest.mark.parametrize("level", range(len(lines.TIGHTER)))
-def test_longer_line_keys_bring_near_lines_together(spark, level):
-    pairs = near_lines(random.Random(11), 400)
-    rows = [(2 * i + j, x) for i, p in enumerate(pairs) for j, x in enumerate(p)]
-    got = lines.tight(*lines.TIGHTER[level])(spark.createDataFrame(rows, "id long, grams string")).toPandas()
-    keys = got.groupby("id").key.agg(set)
-    met = sum(bool(keys[2 * i] & keys[2 * i + 1]) for i in range(len(pairs)))
-    assert met >= 0.97 * len(pairs)
-
-
-@pytest.mark.parametrize("last", [256, 30])
-def test_large_mixed_buckets_link_members_beside_the_centres_group(spark, monkeypatch, last):
-    """A chain in one bucket of 40: each set is like the next one only, so no link is spare; 30 leaves it above LAST."""
-    monkeypatch.setattr(common, "LAST", last)
-    sets = spark.createDataFrame([(i, list(range(i, i + 9))) for i in range(40)], "id long, grams array<long>")
-    edges = common.link(sets.select(F.lit(1).cast("long").alias("key"), "id"), lambda ids: sets.join(ids, "id", "left_semi"), 0.8, [lambda s: s.select(F.lit(2).cast("long").alias("key"), "id")])
-    got = common.components(edges).collect()
-    assert len(got) == 40 and {r.comp for r in got} == {0}
+def word(rng, n):
+    return "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+
+
+def natural(rng):
+    w = [word(rng, rng.randrange(3, 9)) for _ in range(14)]
+    return " ".join(w), " ".join(w[:6] + [word(rng, len(w[6]))] + w[7:])
+
+
+def long_words(rng):
+    w = [word(rng, 18) for _ in range(4)]
+    return " ".join(w), " ".join([w[0], w[1][:9] + "é" + w[1][10:], *w[2:]])
+
+
+def unspaced(rng):
+    a, k = word(rng, 80), rng.randrange(80)
+    return a, a[:k] + "9" + a[k + 1 :]
+
+
+def test_near_lines_of_any_form_are_found(spark):
+    kinds = [near_lines(random.Random(11), 150, make) for make in (natural, long_words, unspaced)]
+    rows = [(2 * (150 * k + i) + j, x) for k, pairs in enumerate(kinds) for i, p in enumerate(pairs) for j, x in enumerate(p)]
+    got = lines.removals(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    lost = set(got.doc_id)
+    assert lost <= {2 * i + 1 for i in range(450)}
+    assert all(sum(2 * (150 * k + i) + 1 in lost for i in range(150)) >= 147 for k in range(3))
+
+
+def test_a_chain_in_one_bucket_is_linked_whole(spark):
+    """Each set is like the next one only, so no link is spare; the bucket is a large one."""
+    sets = spark.createDataFrame([(i, list(range(i, i + 9))) for i in range(24)], "id long, grams array<long>")
+    got = common.linked(sets.select(F.lit(1).cast("long").alias("key"), "id"), lambda ids: sets.join(ids, "id", "left_semi"), 0.8, 8).collect()
+    assert len(got) == 24 and {r.comp for r in got} == {0}
+
+
+@pytest.mark.parametrize("small", [4])
+def test_one_mixed_bucket_equals_all_pairs(spark, small):
+    rng = random.Random(9)
+    base = [[rng.randrange(10**9) for _ in range(rng.randrange(20, 60))] for _ in range(12)]
+    sets = {}
+    for i in range(240):
+        s = rng.choice(base)
+        k = rng.choice([0, 1, 2, 4, 8])
+        sets[i] = frozenset(rng.sample(s, len(s) - k) + [rng.randrange(10**9) for _ in range(k)])
+    links = [(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8]
+    want = components_of(sets, links)
+    frame = spark.createDataFrame([(i, list(s)) for i, s in sets.items()], "id long, grams array<long>")
+    got = common.linked(frame.select(F.lit(1).cast("long").alias("key"), "id"), lambda ids: frame.join(ids, "id", "left_semi"), 0.8, small).collect()
+    assert {**{n: n for n in sets}, **{r.node: r.comp for r in got}} == want
+
+
+def test_rows_without_an_id_or_with_a_shared_one_stay_apart(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [(5, text(0)), (5, text(1)), (None, text(2)), (None, text(3)), (None, text(3)), (7, text(0)), (8, text(4) + " more"), (9, text(4) + " other")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in minhash.one_of_each(frame).collect()]
+    assert len(got) == 5 and set(got) == {(5, text(0)), (5, text(1)), (None, text(2)), (None, text(3)), (8, text(4) + " more")}
+    both = spark.createDataFrame([(None, "first line here\nsecond line here"), (None, "something else\nfirst line here\nthird")], "doc_id long, text string")
+    assert sorted(x for r in lines.cleaned(both).collect() for x in r.text.split("\n")) == ["first line here", "second line here", "something else", "third"]
+
+
+def test_short_lines_take_part(spark):
+    frame = spark.createDataFrame([(1, "yes\nno"), (2, "Yes \nmaybe"), (3, "abcd\nabce")], "doc_id long, text string")
+    assert {r.doc_id: r.removed for r in lines.removals(frame).collect()} == {2: [0]}
+
+
+def test_shared_passages_are_cut_to_their_ends(spark):
+    """Passages of 50 to 90 words anywhere in texts: what goes is the passage, whole; 37 words aren't one."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for p, size in enumerate([50, 51, 60, 75, 90, 37]):
+        passage = [word(rng, 6) for _ in range(size)]
+        for i in range(4):
+            before, after = ([word(rng, 7) for _ in range(rng.randrange(0, 80))] for _ in range(2))
+            doc = 10 * p + i
+            rows.append((doc, " ".join(before + passage + after)))
+            want[doc] = size if i and size >= 50 else 0
+    got = passages.cut(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
+    assert got.n_removed_words.to_dict() == want
+    assert all((got.n_clusters[d] > 0) == (d < 50) for d in want)
+
+
+def test_repeats_of_rows_without_an_id_are_cut_apart(spark):
+    rng = random.Random(4)
+    passage = " ".join(word(rng, 6) for _ in range(60))
+    own = [" ".join(word(rng, 7) for _ in range(40)) for _ in range(2)]
+    rows = [(None, passage + " " + own[0]), (None, own[1] + " " + passage), (None, "three short text"), (1, passage)]
+    got = passages.cut(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text.strip() for r in got) == sorted([passage, *own, "three short text"])
+
+
+def test_disclosure_counts_different_segments(spark):
+    rows = [(i, f"Ask Zebulon about item{chr(97 + i)} at zeb@mail.org now\nplain words again here") for i in range(5)]
+    rows += [(10 + i, f"Zebulon {chr(97 + i) * 6} {chr(97 + i) * 4} here\nAsk about more {chr(97 + i) * 5} things now") for i in range(20)]
+    told = {r.term for r in pii.terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    more = rows + [(100 + i, "one unrelated line") for i in range(3000)]
+    assert "zebulon" not in told
+    assert {r.term for r in pii.terms(spark.createDataFrame(more, "doc_id long, text string")).collect()} == told
+
+
+def test_values_met_once_count_by_their_group(spark):
+    rows = [(i, f"Write to Quillfeather {chr(97 + i) * 5} at {chr(97 + i) * 3}@quill.example.org") for i in range(6)]
+    rows += [(10 + i, f"nothing {chr(97 + i % 26) * 6} {chr(97 + i // 26) * 7} stands here") for i in range(300)]
+    assert "quillfeather" in {r.term for r in pii.terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+LONG = "word " * 60
+PAGES = {
+    "head left open": (f"<html><head><title>x</title><meta a=b><div><h1>The title</h1><p>{LONG}</p><p>{LONG}</p></div>", 122),
+    "names that only look like boilerplate": (f"<body><div class='content no-sidebar'><div id='page-head-wrap'><p>{LONG}</p><p>{LONG}</p></div></div>", 120),
+    "section of an article": (f"<body><nav><a href=1>Home</a></nav><article><h1>Title</h1><p>{LONG}</p><section class='related-work'><h2>Related work</h2><p>{LONG}</p></section></article>", 123),
+    "graphics left open": (f"<body><article><h1>Title</h1><p>{LONG}</p><svg><path><p>{LONG}</p></article>", 121),
+    "selection left open": (f"<body><div><select><option>a<option>b</div><p>{LONG}</p><p>{LONG}</p>", 120),
+    "article inside a named box": (f"<body><div class='sidebar'><p>{LONG}</p></div><div class='menu'><article><p>{LONG}</p><p>{LONG}</p></article></div>", 120),
+    "comments without an article element": (f"<body><div class='main'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div><div class='comments'><p>{LONG}</p><p>{LONG}</p></div>", 121),
+    "one paragraph alone": (f"<p>{LONG}</p>", 60),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_articles_of_odd_pages_stay_whole(name):
+    page, n = PAGES[name]
+    assert len(html.main_text(page, html.train(html.LABELLED)).split()) == n
+
+
+def test_pieces_keep_their_own_space_sign(spark):
+    rows = [(1, "a▁b"), (2, "▁"), (3, " ▁ x"), (4, "▁▁ ▁")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pieces.decode(pieces.encode(frame)).collect()} == dict(rows)
