@@ -133,9 +133,9 @@ def json_object(text: Column, schema: str) -> Column:
 
 
 def parse_score(text: Column) -> Column:
-    """The number the text is, or else holds first, clamped to 0..1; null if none (and for nan)."""
-    plain = F.when(F.rlike(F.trim(text), F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$")), F.trim(text))
-    inside = F.nullif(F.regexp_extract(text, r"\b(0(\.[0-9]+)?|1(\.0+)?)\b(?![0-9%/]|\.[0-9])", 1), F.lit(""))
+    """The number the text is, or else the first fraction, 0 or 1 it holds, clamped to 0..1; null if none (and for nan)."""
+    plain = F.when(F.rlike(F.trim(text), F.lit(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$")), F.trim(text))
+    inside = F.nullif(F.regexp_extract(text, r"\b0?\.[0-9]+|\b1\.0\b|\b0\b|\b1\b", 0), F.lit(""))
     value = F.coalesce(plain.try_cast("double"), inside.try_cast("double"))
     return F.when(value.isNotNull(), F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 

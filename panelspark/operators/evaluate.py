@@ -116,9 +116,11 @@ def workload_band(load: Column, mean: Column, sd: Column) -> Column:
     return F.when(load == 0, "idle").when(load <= mean, "light").when(load <= mean + F.greatest(sd, F.lit(1.0)), "moderate").otherwise("heavy")
 
 
-def utilisation_label(share: Column) -> Column:
-    """Bands at 0, 40, 70, 90 and 100 percent."""
-    return F.when(share <= 0, "unused").when(share < 0.4, "low").when(share < 0.7, "normal").when(share < 0.9, "high").when(share < 1.0, "near capacity").otherwise("at capacity")
+def utilisation_label(load: Column, capacity: Column) -> Column:
+    """Under 40 percent, up to 70, up to 90, above; no load and a full one have their own names."""
+    percent = load * 100.0 / F.greatest(capacity, F.lit(1))
+    bands = F.when(percent < 40, "Low").when(percent <= 70, "Moderate").when(percent <= 90, "High").otherwise("Near Capacity")
+    return F.when(load <= 0, "Unused").when(load >= F.greatest(capacity, F.lit(1)), "At Capacity").otherwise(bands)
 
 
 def roc_auc(rows: DataFrame, label: str, score: str) -> DataFrame:

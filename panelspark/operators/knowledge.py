@@ -43,20 +43,23 @@ def sparse_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def keyphrases(docs: DataFrame, k: int) -> DataFrame:
     """The k most frequent clean words of ``docs(id, text)``; ties by first place, then the word."""
-    words = docs.select("id", F.posexplode(T.tokens(F.col("text"), "[a-z0-9]+", T.STOPWORDS, 3, distinct=False)).alias("pos", "w"))
-    words = words.select("id", "pos", T.normal_word(F.col("w")).alias("term")).where((F.length("term") > 3) & ~F.array_contains(T.words_array(T.GENERIC), F.col("term")))
-    top = words.groupBy("id", "term").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    words = docs.select("id", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("pos", "w"))
+    words = words.where((F.length("w") > 3) & ~F.col("w").isin(*T.STOPWORDS))
+    # counted as they stand first: a word is normalised once a document
+    once = words.groupBy("id", "w").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    clean = once.select("id", "n", "first", T.normal_word(F.col("w")).alias("term")).where((F.length("term") > 3) & ~F.col("term").isin(*T.GENERIC))
+    top = clean.groupBy("id", "term").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first", "term"))
     return top.withColumn("rank", order).where(F.col("rank") <= k)
 
 
 def topics(docs: DataFrame, vocabulary: list[str]) -> DataFrame:
-    """The vocabulary's terms that stand as whole words in ``docs(id, text)``, by an equi-join on n-grams."""
+    """The vocabulary's terms that stand as whole words in ``docs(id, text)``: what its n-grams share with the vocabulary."""
     longest = max(len(v.split()) for v in vocabulary)
     words = T.tokens(F.col("text"), "[a-z0-9]+", distinct=False)
-    grams = F.array_distinct(F.flatten(F.array(*[T.ngrams(F.col("w"), n) for n in range(1, longest + 1)])))
-    table = docs.sparkSession.createDataFrame([(v,) for v in vocabulary], "topic string")
-    return docs.select("id", words.alias("w")).select("id", F.explode(grams).alias("topic")).join(F.broadcast(table), "topic").select("id", "topic")
+    grams = F.flatten(F.array(*[T.ngrams(F.col("w"), n) for n in range(1, longest + 1)]))
+    found = F.array_intersect(F.array(*map(F.lit, vocabulary)), grams)  # a text's topics at most leave the row
+    return docs.select("id", words.alias("w")).select("id", F.explode(found).alias("topic"))
 
 
 def topic_weights(labels: DataFrame, extra: DataFrame | None = None, weight: float = 0.3) -> DataFrame:
@@ -89,20 +92,33 @@ def both_ways(e: DataFrame) -> DataFrame:
 
 
 def overlap_score(pairs: DataFrame, e: DataFrame) -> DataFrame:
-    """Shared neighbours and distinct ones one step on, from edge self-joins."""
+    """Shared neighbours, and the paper's neighbours that a neighbour of the reviewer knows, from edge self-joins."""
     n = both_ways(e)
     deg = n.groupBy("src").agg(F.count("*").alias("deg"))
     p = pairs.select("paper_id", "reviewer_id").join(n.select(F.col("src").alias("paper_id"), F.col("dst").alias("x")), "paper_id")
     r = n.select(F.col("src").alias("reviewer_id"), F.col("dst").alias("y"))
     direct = p.join(r.withColumnRenamed("y", "x"), ["reviewer_id", "x"]).groupBy("paper_id", "reviewer_id").agg(F.count("*").alias("direct"))
-    step = n.select(F.col("src").alias("x"), F.col("dst").alias("y")).where("x <> y")
-    bridge = p.join(step, "x").where("y <> paper_id").join(r, ["reviewer_id", "y"]).where("x <> reviewer_id").groupBy("paper_id", "reviewer_id").agg(F.countDistinct("y").alias("bridge"))
+    step = n.select(F.col("src").alias("x"), F.col("dst").alias("y"))
+    bridge = p.join(step, "x").join(r, ["reviewer_id", "y"]).groupBy("paper_id", "reviewer_id").agg(F.countDistinct("x").alias("bridge"))
     rows = pairs.select("paper_id", "reviewer_id").join(direct, ["paper_id", "reviewer_id"], "left").join(bridge, ["paper_id", "reviewer_id"], "left").na.fill(0, ["direct", "bridge"])
     rows = rows.join(deg.withColumnRenamed("src", "paper_id"), "paper_id", "left").na.fill(0, ["deg"])
     score = F.least(F.lit(1.0), (F.col("direct") + 0.35 * F.col("bridge")) / F.greatest(F.lit(3), F.col("deg")))
     return rows.select("paper_id", "reviewer_id", "direct", "bridge", score.alias("score"), F.least(F.lit(1.0), (F.col("direct") + F.col("bridge")) / 8).alias("confidence"))
 
 
+def path_counts(pairs: DataFrame, e: DataFrame, limit: int = 100) -> DataFrame:
+    """An edge and each common neighbour count, and so does every simple path of up to three steps, ``limit`` in all."""
+    n = both_ways(e).distinct()
+    p = pairs.select("paper_id", "reviewer_id")
+    edge = p.join(n.select(F.col("src").alias("paper_id"), F.col("dst").alias("reviewer_id")), ["paper_id", "reviewer_id"]).withColumn("k", F.lit(2))
+    first = p.join(n.select(F.col("src").alias("paper_id"), F.col("dst").alias("x")), "paper_id").where("x <> reviewer_id")
+    last = n.select(F.col("src").alias("reviewer_id"), F.col("dst").alias("y"))
+    two = first.join(last.withColumnRenamed("y", "x"), ["reviewer_id", "x"]).select("paper_id", "reviewer_id", F.lit(2).alias("k"))
+    three = first.join(n.select(F.col("src").alias("x"), F.col("dst").alias("y")), "x").where("y <> paper_id").join(last, ["reviewer_id", "y"]).select("paper_id", "reviewer_id", F.lit(1).alias("k"))
+    total = edge.unionByName(two).unionByName(three).groupBy("paper_id", "reviewer_id").agg(F.sum("k").alias("paths"))
+    return p.join(total, ["paper_id", "reviewer_id"], "left").select("paper_id", "reviewer_id", F.least(F.coalesce("paths", F.lit(0)), F.lit(limit)).cast("long").alias("paths"))
+
+
 def path_confidence(paths: Column) -> Column:
     """G16."""
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.log1p(paths) / 5))

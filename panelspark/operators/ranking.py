@@ -1,4 +1,4 @@
-"""Candidate generation, fusion, panels and assignment."""
+"""Candidate generation, fusion, panels and assignment; the README lists what is not built."""
 
 from __future__ import annotations
 
@@ -106,10 +106,10 @@ def capacity_status(load: Column, capacity: Column, near: float = Params.near_ca
     return F.when(load >= capacity, "at_capacity").when(load / capacity >= near, "near_capacity").otherwise("available")
 
 
-def coi_status(graph: Column, same_person: Column, same_place: Column, tau: float = 0.5) -> tuple[Column, Column]:
-    """Score and flag; any reason raises the score to .75 at least."""
+def coi_status(graph: Column, same_person: Column, same_place: Column, tau: float = 0.5, flagged: Column | None = None) -> tuple[Column, Column]:
+    """Score and flag; any reason, a flag known before included, raises the score to .75 at least."""
     score = F.greatest(F.coalesce(graph, F.lit(0.0)), F.when(same_person, 1.0).otherwise(0.0), F.when(same_place, 0.6).otherwise(0.0))
-    flag = score >= tau
+    flag = (score >= tau) | (F.lit(False) if flagged is None else F.coalesce(flagged, F.lit(False)))
     return F.when(flag, F.greatest(score, F.lit(0.75))).otherwise(score), flag
 
 
@@ -119,7 +119,7 @@ def blend_coi(flagged: Column, score: Column, model: Column) -> Column:
 
 
 def role_panel(rows: DataFrame) -> DataFrame:
-    """P01-P08 over all papers at once: expert by authority, moderate by marginal value, fresher by MMR.
+    """P02-P04, P06 and P07 over all papers at once, without the eligibility floors and pools of P01: expert by authority, moderate by marginal value, fresher by MMR.
 
     ``rows``: paper_id, reviewer_id, role, sim, authority, terms array<string>. Each pick is a
     window over the paper's candidates; what was picked joins back as one row a paper.

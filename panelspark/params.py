@@ -26,4 +26,4 @@ class Params:
 #: The ablation weights by mode, for (semantic, graph, profile).
 MODES = {"semantic": (1.0, 0.0, 0.0), "semantic_kg": (0.5, 0.5, 0.0), "semantic_llm": (0.5, 0.0, 0.5), "semantic_kg_llm": (0.34, 0.33, 0.33)}
 #: The weight triples of the grid search.
-GRID = [(1.0, 0.0, 0.0), (0.8, 0.1, 0.1), (0.6, 0.2, 0.2), (0.5, 0.5, 0.0), (0.5, 0.0, 0.5), (0.34, 0.33, 0.33), (0.4, 0.3, 0.3)]
+GRID = [(0.90, 0.10, 0.00), (0.85, 0.15, 0.00), (0.80, 0.20, 0.00), (0.75, 0.20, 0.05), (0.70, 0.25, 0.05), (0.70, 0.20, 0.10), (0.65, 0.25, 0.10)]

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +14,7 @@ from ..operators import evaluate as E
 from ..operators import knowledge as K
 from ..operators import learned as L
 from ..operators import ranking as R
+from ..operators import scoring as G
 from ..params import GRID, MODES
 from ..sources import tables as X
 from ..streaming import workload
@@ -37,30 +37,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# ---- embeddings as papers (FIRST, or EVERY_50TH by the queries at the end) and candidates; relevant is the same label
+# ---- every 50th embedding is a paper, all are candidates; relevant is the same label
 
-FIRST, EVERY_50TH = "vec_id < 50", "vec_id % 50 = 0"
+PAPERS = "vec_id % 50 = 0"
 
-def _ranked(spark, d, k=100, papers=FIRST):
+
+def _ranked(spark, d, k=100):
     e = table(spark, d, "embeddings")
-    q = e.where(papers).select(F.col("vec_id").alias("paper_id"), F.col("embedding").alias("v"))
+    q = e.where(PAPERS).select(F.col("vec_id").alias("paper_id"), F.col("embedding").alias("v"))
     return R.vector_top_k(q, e.select(F.col("vec_id").alias("reviewer_id"), F.col("embedding").alias("v")), k)
 
 
-def _truth(spark, d, papers=FIRST):
+def _truth(spark, d):
     e = table(spark, d, "embeddings")
-    a, b = e.where(papers).select(F.col("vec_id").alias("paper_id"), "label"), e.select(F.col("vec_id").alias("reviewer_id"), "label")
+    a, b = e.where(PAPERS).select(F.col("vec_id").alias("paper_id"), "label"), e.select(F.col("vec_id").alias("reviewer_id"), "label")
     return a.join(b, "label").where("paper_id <> reviewer_id").select("paper_id", "reviewer_id")
 
 
-def _scores(spark, d, k, papers=FIRST):
-    return E.per_paper(E.hits(_ranked(spark, d, papers=papers), _truth(spark, d, papers=papers)), k)
+def _scores(spark, d, k):
+    return E.per_paper(E.hits(_ranked(spark, d), _truth(spark, d)), k)
 
 
 RANKED = """WITH s AS (SELECT a.vec_id paper_id, b.vec_id reviewer_id, a.label la, b.label lb, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) score
- FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id < 50),
+ FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(score, 9) DESC, reviewer_id) rank FROM s QUALIFY rank <= 100),
-t AS (SELECT a.vec_id paper_id, count(*) n_truth FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id < 50 GROUP BY 1),
+t AS (SELECT a.vec_id paper_id, count(*) n_truth FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1),
 h AS (SELECT r.*, n_truth, CASE WHEN la = lb THEN 1 ELSE 0 END hit, sum(CASE WHEN la = lb THEN 1 ELSE 0 END) OVER (PARTITION BY paper_id ORDER BY rank) seen FROM r JOIN t USING (paper_id)),
 m(k) AS (VALUES (3), (5), (10)),
 p AS (SELECT k, paper_id, n_truth, coalesce(1.0::DOUBLE / min(CASE WHEN hit = 1 THEN rank END), 0) rr, sum(CASE WHEN hit = 1 THEN seen::DOUBLE / rank ELSE 0 END) / n_truth ap,
@@ -71,21 +72,21 @@ MEANS = "count(*) n_papers, round(avg(top::DOUBLE / k), 6) AS \"precision\", rou
 
 
 @query(RANKED + "SELECT paper_id, reviewer_id, round(score, 6) score, rank FROM r WHERE rank <= 10")
-def vector_topk(spark, d, papers=FIRST):
+def vector_topk(spark, d):
     """J02, M02, F05."""
-    return _ranked(spark, d, 10, papers=papers).select("paper_id", "reviewer_id", F.round("score", 6).alias("score"), "rank")
+    return _ranked(spark, d, 10).select("paper_id", "reviewer_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(RANKED + f"SELECT {MEANS} FROM p WHERE k = 3")
-def ranking_quality(spark, d, papers=FIRST):
+def ranking_quality(spark, d):
     """R01-R05, J10, J11."""
-    return E.mean_metrics(_scores(spark, d, 3, papers=papers), [])
+    return E.mean_metrics(_scores(spark, d, 3), [])
 
 
 @query(RANKED + f"SELECT k, {MEANS} FROM p GROUP BY k")
-def ranking_quality_by_k(spark, d, papers=FIRST):
+def ranking_quality_by_k(spark, d):
     """R04-R07 at three depths, from one ranking."""
-    rows = E.hits(_ranked(spark, d, papers=papers), _truth(spark, d, papers=papers))
+    rows = E.hits(_ranked(spark, d), _truth(spark, d))
     out = None
     for k in (3, 5, 10):
         part = E.per_paper(rows, k).withColumn("k", F.lit(k))
@@ -94,36 +95,36 @@ def ranking_quality_by_k(spark, d, papers=FIRST):
 
 
 @query(RANKED + "SELECT count(*) n_hit, round(avg(ap_k), 6) map_conditional FROM p WHERE k = 3 AND top > 0")
-def map_conditional(spark, d, papers=FIRST):
+def map_conditional(spark, d):
     """R08."""
-    return E.conditional_map(_scores(spark, d, 3, papers=papers), [])
+    return E.conditional_map(_scores(spark, d, 3), [])
 
 
 @query(RANKED + "SELECT round(avg(CASE WHEN top > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) hit_rate FROM p WHERE k = 10")
-def hit_rate_at_k(spark, d, papers=FIRST):
+def hit_rate_at_k(spark, d):
     """R09."""
-    return E.hit_rate(_scores(spark, d, 10, papers=papers), [])
+    return E.hit_rate(_scores(spark, d, 10), [])
 
 
 @query(RANKED + "SELECT round(count(DISTINCT reviewer_id)::DOUBLE / (SELECT count(*) FROM embeddings), 6) coverage, round(count(DISTINCT reviewer_id)::DOUBLE / count(*), 6) diversity FROM r WHERE rank <= 10")
-def coverage_at_k(spark, d, papers=FIRST):
+def coverage_at_k(spark, d):
     """R10-R12."""
-    return E.coverage(_ranked(spark, d, papers=papers), F.lit(table(spark, d, "embeddings").count()), 10)
+    return E.coverage(_ranked(spark, d), F.lit(table(spark, d, "embeddings").count()), 10)
 
 
 @query(RANKED + """, w AS (SELECT *, min(score) OVER x lo, max(score) OVER x hi, avg(score) OVER x mu, stddev_pop(score) OVER x sd FROM r WINDOW x AS (PARTITION BY paper_id))
 SELECT paper_id, reviewer_id, round(CASE WHEN hi - lo <= 1e-8 THEN 0.5 ELSE (score - lo) / (hi - lo + 1e-8) END, 6) mm_half, round(CASE WHEN hi - lo <= 1e-8 THEN 0 ELSE (score - lo) / (hi - lo) END, 6) mm_zero,
  round(CASE WHEN sd <= 1e-9 THEN 0.5 ELSE 1 / (1 + exp(-least(greatest((score - mu) / sd, -30), 30))) END, 6) z FROM w""")
-def normalisations(spark, d, papers=FIRST):
+def normalisations(spark, d):
     """M12, M14-M18."""
     w = Window.partitionBy("paper_id")
     s = F.col("score")
-    return _ranked(spark, d, papers=papers).select("paper_id", "reviewer_id", F.round(S.minmax(s, w, 0.5, 1e-8), 6).alias("mm_half"), F.round(S.minmax(s, w, 0.0), 6).alias("mm_zero"), F.round(S.standardise(s, w), 6).alias("z"))
+    return _ranked(spark, d).select("paper_id", "reviewer_id", F.round(S.minmax(s, w, 0.5, 1e-8), 6).alias("mm_half"), F.round(S.minmax(s, w, 0.0), 6).alias("mm_zero"), F.round(S.standardise(s, w), 6).alias("z"))
 
 
-def _signals(spark, d, papers=FIRST):
+def _signals(spark, d):
     """Three signals of each ranked pair: cosine, and two from the ids."""
-    r = _ranked(spark, d, papers=papers).select("paper_id", "reviewer_id", F.col("score").alias("semantic"))
+    r = _ranked(spark, d).select("paper_id", "reviewer_id", F.col("score").alias("semantic"))
     return r.withColumns({"kg": F.pmod(F.col("paper_id") * 7 + F.col("reviewer_id") * 13, F.lit(101)) / 100.0, "profile": F.pmod(F.col("paper_id") * 3 + F.col("reviewer_id") * 5, F.lit(89)) / 88.0}).withColumn("base", S.clamp(F.col("semantic")))
 
 
@@ -132,18 +133,18 @@ SIGNALS = RANKED + ", g AS (SELECT paper_id, reviewer_id, score semantic, ((pape
 
 @query(SIGNALS + """, k AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(semantic, 9) DESC, reviewer_id) r1, row_number() OVER (PARTITION BY paper_id ORDER BY round(kg, 9) DESC, reviewer_id) r2, row_number() OVER (PARTITION BY paper_id ORDER BY round(profile, 9) DESC, reviewer_id) r3 FROM g)
 SELECT paper_id, reviewer_id, round((1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) + 1.0::DOUBLE / (60 + r3)) / (3.0::DOUBLE / 61), 6) rrf, round(0.7 * base + 0.3 * (1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) + 1.0::DOUBLE / (60 + r3)) / (3.0::DOUBLE / 61), 6) fused FROM k""")
-def rrf_fusion(spark, d, papers=FIRST):
+def rrf_fusion(spark, d):
     """F05-F07."""
-    return R.rrf_fusion(_signals(spark, d, papers=papers), ["semantic", "kg", "profile"], 0.3).select("paper_id", "reviewer_id", F.round("rrf", 6).alias("rrf"), F.round("fused", 6).alias("fused"))
+    return R.rrf_fusion(_signals(spark, d), ["semantic", "kg", "profile"], 0.3).select("paper_id", "reviewer_id", F.round("rrf", 6).alias("rrf"), F.round("fused", 6).alias("fused"))
 
 
 _MODES_SQL = ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for m, (a, b, c) in MODES.items())
 
 
 @query(SIGNALS + f", w(mode, a, b, c) AS (VALUES {_MODES_SQL}) SELECT paper_id, reviewer_id, mode, round(least(greatest(a * semantic + b * kg + c * profile, 0), 1), 6) score FROM g, w")
-def fusion_modes(spark, d, papers=FIRST):
+def fusion_modes(spark, d):
     """F08-F10, F17, F24, F27."""
-    return R.by_mode(_signals(spark, d, papers=papers), MODES, ["semantic", "kg", "profile"]).withColumn("score", F.round("score", 6))
+    return R.by_mode(_signals(spark, d), MODES, ["semantic", "kg", "profile"]).withColumn("score", F.round("score", 6))
 
 
 _GRID_SQL = ", ".join(f"('{i}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for i, (a, b, c) in enumerate(GRID))
@@ -154,30 +155,30 @@ y AS (SELECT *, row_number() OVER (PARTITION BY mode, paper_id ORDER BY round(sc
 z AS (SELECT mode, y.paper_id, y.rk, CASE WHEN ea.label = eb.label THEN 1 ELSE 0 END hit, n_truth FROM y JOIN embeddings ea ON ea.vec_id = y.paper_id JOIN embeddings eb ON eb.vec_id = y.reviewer_id JOIN t ON t.paper_id = y.paper_id),
 u AS (SELECT mode, paper_id, coalesce(1.0::DOUBLE / min(CASE WHEN hit = 1 THEN rk END), 0) rr, sum(CASE WHEN rk <= 3 THEN hit ELSE 0 END) top, n_truth FROM z GROUP BY mode, paper_id, n_truth)
 SELECT mode, round(avg(rr), 6) mrr, round(avg(top / 3.0::DOUBLE), 6) AS "precision" FROM u GROUP BY mode""")
-def fusion_weight_grid(spark, d, papers=FIRST):
+def fusion_weight_grid(spark, d):
     """every weight triple from one pass over the signals."""
-    rows = R.by_mode(_signals(spark, d, papers=papers), {str(i): w for i, w in enumerate(GRID)}, ["semantic", "kg", "profile"])
+    rows = R.by_mode(_signals(spark, d), {str(i): w for i, w in enumerate(GRID)}, ["semantic", "kg", "profile"])
     rows = rows.withColumn("rank", S.rank_by(F.col("score"), F.col("reviewer_id"), by=["mode", "paper_id"]))
-    return E.mean_metrics(E.per_paper(E.hits(rows, _truth(spark, d, papers=papers)), 3, ["mode", "paper_id"]), ["mode"]).select("mode", "mrr", "precision")
+    return E.mean_metrics(E.per_paper(E.hits(rows, _truth(spark, d)), 3, ["mode", "paper_id"]), ["mode"]).select("mode", "mrr", "precision")
 
 
 @query(SIGNALS + """, q AS (SELECT *, 0.4 * greatest(semantic, 0) a, 0.35 * kg b, 0.25 * profile c FROM g)
 SELECT paper_id, reviewer_id, round(CASE WHEN a + b + c > 0 THEN a / (a + b + c) ELSE 0 END, 6) share_semantic, round(CASE WHEN a + b + c > 0 THEN b / (a + b + c) ELSE 0 END, 6) share_kg,
  CASE WHEN a >= b AND a >= c THEN 'semantic' WHEN b >= c THEN 'kg' ELSE 'profile' END dominant FROM q""")
-def score_contributions(spark, d, papers=FIRST):
+def score_contributions(spark, d):
     """F11."""
-    rows = _signals(spark, d, papers=papers).withColumn("semantic", F.greatest("semantic", F.lit(0.0)))
+    rows = _signals(spark, d).withColumn("semantic", F.greatest("semantic", F.lit(0.0)))
     return R.contributions(rows, {"semantic": 0.4, "kg": 0.35, "profile": 0.25}).select("paper_id", "reviewer_id", F.round("share_semantic", 6).alias("share_semantic"), F.round("share_kg", 6).alias("share_kg"), "dominant")
 
 
 @query(SIGNALS + """SELECT paper_id, reviewer_id, round(0.6 * semantic + 0.3 * kg + 0.1 * profile, 6) weighted, round(least(kg, semantic + 0.25) * profile, 6) kg_effective,
  round(CASE WHEN semantic < 0.4 THEN 0.75 * semantic ELSE 0.6 * semantic + 0.2 * profile + 0.2 * kg END, 6) relevance, CASE WHEN (CASE WHEN semantic < 0.4 THEN 0.75 * semantic ELSE 0.6 * semantic + 0.2 * profile + 0.2 * kg END) < 0.40 THEN 'low'
  WHEN (CASE WHEN semantic < 0.4 THEN 0.75 * semantic ELSE 0.6 * semantic + 0.2 * profile + 0.2 * kg END) < 0.65 THEN 'medium' ELSE 'high' END label FROM g""")
-def weighted_scores(spark, d, papers=FIRST):
+def weighted_scores(spark, d):
     """F01, F04, F09, A24."""
     s, k, p = F.col("semantic"), F.col("kg"), F.col("profile")
     rel = S.relevance(s, p, k)
-    return _signals(spark, d, papers=papers).select("paper_id", "reviewer_id", F.round(0.6 * s + 0.3 * k + 0.1 * p, 6).alias("weighted"), F.round(S.graph_effective(k, s, p), 6).alias("kg_effective"), F.round(rel, 6).alias("relevance"), S.relevance_label(rel).alias("label"))
+    return _signals(spark, d).select("paper_id", "reviewer_id", F.round(0.6 * s + 0.3 * k + 0.1 * p, 6).alias("weighted"), F.round(S.graph_effective(k, s, p), 6).alias("kg_effective"), F.round(rel, 6).alias("relevance"), S.relevance_label(rel).alias("label"))
 
 
 @query(RANKED + """, v AS (SELECT label, i, avg(embedding[i]::DOUBLE) x FROM embeddings, range(1, 65) q(i) GROUP BY label, i)
@@ -216,13 +217,13 @@ def overload_rate(spark, d):
 
 
 @query(LOADS + """, s AS (SELECT avg(load) m, stddev_pop(load) sd, max(load) mx FROM l) SELECT reviewer_id, load, round(load::DOUBLE / mx, 6) share, CASE WHEN load = 0 THEN 'idle' WHEN load <= m THEN 'light' WHEN load <= m + greatest(sd, 1) THEN 'moderate' ELSE 'heavy' END band,
- CASE WHEN load >= mx THEN 'at capacity' WHEN load::DOUBLE / mx <= 0 THEN 'unused' WHEN load::DOUBLE / mx < 0.4 THEN 'low' WHEN load::DOUBLE / mx < 0.7 THEN 'normal' WHEN load::DOUBLE / mx < 0.9 THEN 'high' ELSE 'near capacity' END label FROM l, s""")
+ CASE WHEN load <= 0 THEN 'Unused' WHEN load >= mx THEN 'At Capacity' WHEN load * 100.0::DOUBLE / mx < 40 THEN 'Low' WHEN load * 100.0::DOUBLE / mx <= 70 THEN 'Moderate' WHEN load * 100.0::DOUBLE / mx <= 90 THEN 'High' ELSE 'Near Capacity' END label FROM l, s""")
 def workload_registry(spark, d):
     """W13-W15."""
     l = E.loads(_suppliers(spark, d), _assigned(spark, d))
     s = l.agg(F.avg("load").alias("m"), F.stddev_pop("load").alias("sd"), F.max("load").alias("mx"))
     share = F.col("load") / F.col("mx")
-    return l.join(F.broadcast(s)).select("reviewer_id", "load", F.round(share, 6).alias("share"), E.workload_band(F.col("load"), F.col("m"), F.col("sd")).alias("band"), E.utilisation_label(share).alias("label"))
+    return l.join(F.broadcast(s)).select("reviewer_id", "load", F.round(share, 6).alias("share"), E.workload_band(F.col("load"), F.col("m"), F.col("sd")).alias("band"), E.utilisation_label(F.col("load"), F.col("mx")).alias("label"))
 
 
 def _coi(spark, d):
@@ -312,9 +313,9 @@ def signal_summary(spark, d):
 
 
 @query(SIGNALS + "SELECT count(*) n, round(avg(semantic - kg), 6) mean_difference, round(avg(semantic - kg) / (stddev_samp(semantic - kg) / sqrt(count(*))), 6) t FROM g")
-def paired_t_statistic(spark, d, papers=FIRST):
+def paired_t_statistic(spark, d):
     """D05."""
-    return E.paired_t(_signals(spark, d, papers=papers), "semantic", "kg")
+    return E.paired_t(_signals(spark, d), "semantic", "kg")
 
 
 # ---- texts: benchmark items are papers, documents are candidates
@@ -383,13 +384,6 @@ def topic_dictionary(spark, d):
     return _topics(spark, d).groupBy("topic").agg(F.count("*").alias("n"))
 
 
-@query(TOPICS + ", w AS (SELECT id, topic, 1.0::DOUBLE / count(*) OVER (PARTITION BY id) w FROM o) SELECT a.id paper_id, b.id reviewer_id, round(sum(least(a.w, b.w)), 6) score FROM w a JOIN w b USING (topic) WHERE a.id < 10 AND b.id >= 10 AND topic <> 'the' GROUP BY 1, 2")
-def topic_intersection(spark, d):
-    """G05, G07, G08, G28, M10."""
-    w = K.topic_weights(_topics(spark, d)).where("topic <> 'the'")
-    return K.topic_intersection(w.where("id < 10"), w.where("id >= 10")).withColumn("score", F.round("score", 6))
-
-
 _SHARES = "SELECT id, topic, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY id) w FROM"
 
 
@@ -397,7 +391,7 @@ _SHARES = "SELECT id, topic, count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY
 o AS (SELECT kind, id, topic FROM (SELECT kind, id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') || ' ' t FROM t), v WHERE contains(t, ' ' || topic || ' ')),
 a AS ({_SHARES} o WHERE kind = 'b' GROUP BY id, topic), b AS ({_SHARES} o WHERE kind = 'd' GROUP BY id, topic)
 SELECT a.id::BIGINT paper_id, b.id reviewer_id, round(sum(least(a.w, b.w)), 6) score FROM a JOIN b USING (topic) GROUP BY 1, 2""")
-def topic_intersection_sources(spark, d):
+def topic_intersection(spark, d):
     """Every benchmark item against every source by the shares of all topics."""
     papers = K.topics(table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text"), VOCABULARY)
     sources = K.topics(table(spark, d, "documents").select(F.col("source").alias("id"), "text"), VOCABULARY)
@@ -448,20 +442,20 @@ def graph_edges(spark, d):
 
 
 @query(EDGES + """, q AS (SELECT 'n' || n_nationkey paper_id, 'n' || (n_nationkey + 1) reviewer_id FROM nation WHERE n_nationkey < 24), di AS (SELECT paper_id, reviewer_id, count(*) direct FROM q JOIN n x ON x.src = paper_id JOIN n y ON y.src = reviewer_id AND y.dst = x.dst GROUP BY 1, 2),
-br AS (SELECT paper_id, reviewer_id, count(DISTINCT y.src) bridge FROM q JOIN n x ON x.src = paper_id JOIN n m ON m.src = x.dst JOIN n y ON y.src = m.dst AND y.dst = reviewer_id WHERE m.dst <> paper_id AND x.dst <> reviewer_id GROUP BY 1, 2), dg AS (SELECT src, count(*) deg FROM n GROUP BY 1)
+br AS (SELECT paper_id, reviewer_id, count(DISTINCT x.dst) bridge FROM q JOIN n x ON x.src = paper_id JOIN n m ON m.src = x.dst JOIN n y ON y.src = m.dst AND y.dst = reviewer_id GROUP BY 1, 2), dg AS (SELECT src, count(*) deg FROM n GROUP BY 1)
 SELECT paper_id, reviewer_id, coalesce(direct, 0) direct, coalesce(bridge, 0) bridge, round(least(1.0::DOUBLE, (coalesce(direct, 0) + 0.35 * coalesce(bridge, 0)) / greatest(3, coalesce(deg, 0))), 6) score FROM q LEFT JOIN di USING (paper_id, reviewer_id) LEFT JOIN br USING (paper_id, reviewer_id) LEFT JOIN dg ON dg.src = paper_id""")
 def graph_overlap(spark, d):
-    """G13, G15, G16."""
+    """G13."""
     q = table(spark, d, "nation").where("n_nationkey < 24").select(F.concat(F.lit("n"), "n_nationkey").alias("paper_id"), F.concat(F.lit("n"), (F.col("n_nationkey") + 1).cast("string")).alias("reviewer_id"))
     return K.overlap_score(q, _edges(spark, d)).select("paper_id", "reviewer_id", "direct", "bridge", F.round("score", 6).alias("score"))
 
 
 # ---- panels, assignment, learned ranker, live workload
 
-def _candidates(spark, d, papers=FIRST):
+def _candidates(spark, d):
     roles = F.when(F.col("reviewer_id") % 3 == 0, "expert").when(F.col("reviewer_id") % 3 == 1, "moderate").otherwise("fresher")
     terms = F.array(F.concat(F.lit("a"), F.col("reviewer_id") % 7), F.concat(F.lit("b"), F.col("reviewer_id") % 5))
-    return _signals(spark, d, papers=papers).select("paper_id", "reviewer_id", roles.alias("role"), F.col("semantic").alias("sim"), F.col("profile").alias("authority"), terms.alias("terms"))
+    return _signals(spark, d).select("paper_id", "reviewer_id", roles.alias("role"), F.col("semantic").alias("sim"), F.col("profile").alias("authority"), terms.alias("terms"))
 
 
 _J = "(CASE WHEN (x.reviewer_id % 7 = {o}.reviewer_id % 7) AND (x.reviewer_id % 5 = {o}.reviewer_id % 5) THEN 1.0::DOUBLE WHEN (x.reviewer_id % 7 = {o}.reviewer_id % 7) OR (x.reviewer_id % 5 = {o}.reviewer_id % 5) THEN 1.0::DOUBLE / 3 ELSE 0 END)"
@@ -473,22 +467,22 @@ b AS (SELECT x.paper_id, x.reviewer_id, x.semantic, CASE WHEN a.reviewer_id IS N
 c AS (SELECT x.paper_id, x.reviewer_id, 0.64 * (0.70 * x.semantic + 0.30 * profile) - 0.36 * greatest({_J.format(o='a')}, {_J.format(o='b')}) + 0.22 * ((x.reviewer_id % 7 NOT IN (a.reviewer_id % 7, b.reviewer_id % 7))::INT + (x.reviewer_id % 5 NOT IN (a.reviewer_id % 5, b.reviewer_id % 5))::INT) / 2.0::DOUBLE vc FROM g x JOIN a USING (paper_id) JOIN b USING (paper_id) WHERE x.reviewer_id % 3 = 2
  QUALIFY row_number() OVER (PARTITION BY x.paper_id ORDER BY round(vc, 9) DESC, round(x.semantic, 9) DESC, x.reviewer_id) = 1)
 SELECT paper_id, 1 slot, reviewer_id, round(v, 6) AS "value" FROM a UNION ALL SELECT paper_id, 2, reviewer_id, round(vb, 6) FROM b UNION ALL SELECT paper_id, 3, reviewer_id, round(vc, 6) FROM c""")
-def panel_role_balanced(spark, d, papers=FIRST):
+def panel_role_balanced(spark, d):
     """P01-P07."""
-    return R.role_panel(_candidates(spark, d, papers=papers)).select("paper_id", "slot", "reviewer_id", F.round("value", 6).alias("value"))
+    return R.role_panel(_candidates(spark, d)).select("paper_id", "slot", "reviewer_id", F.round("value", 6).alias("value"))
 
 
 @query()
-def assign_greedy_capacity(spark, d, papers=FIRST):
+def assign_greedy_capacity(spark, d):
     """The order of the papers is the meaning; tested against a plain fold."""
     caps = table(spark, d, "embeddings").select(F.col("vec_id").alias("reviewer_id"), (F.col("vec_id") % 3 + 1).alias("capacity"))
-    return R.greedy_assignment(_ranked(spark, d, papers=papers).select("paper_id", "reviewer_id", "score"), caps)
+    return R.greedy_assignment(_ranked(spark, d).select("paper_id", "reviewer_id", "score"), caps)
 
 
 @query()
-def learned_ranker_oof(spark, d, papers=FIRST):
+def learned_ranker_oof(spark, d):
     """L01-L08."""
-    rows = _signals(spark, d, papers=papers).join(_truth(spark, d, papers=papers).withColumn("label", F.lit(1)), ["paper_id", "reviewer_id"], "left").na.fill(0, ["label"])
+    rows = _signals(spark, d).join(_truth(spark, d).withColumn("label", F.lit(1)), ["paper_id", "reviewer_id"], "left").na.fill(0, ["label"])
     out = L.out_of_fold(L.dataset(rows, ["semantic", "kg", "profile"]), ["semantic", "kg", "profile"], iterations=5)
     return out.select("paper_id", "reviewer_id", "label", "fold", F.round("prediction_score", 6).alias("score"))
 
@@ -500,7 +494,7 @@ def live_workload(spark, d):
     return workload.counts(workload.latest(rows))
 
 
-@query("""WITH t AS (SELECT conv_id, turn, trim(text) x FROM conversations), v AS (SELECT conv_id, turn, coalesce(CASE WHEN regexp_matches(x, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)$') THEN x::DOUBLE END, TRY_CAST(nullif(regexp_extract(x, '\\b(0(\\.[0-9]+)?|1(\\.0+)?)\\b([^./%0-9]|\\.[^0-9]|\\.?$)', 1), '') AS DOUBLE)) s FROM t)
+@query("""WITH t AS (SELECT conv_id, turn, trim(text) x FROM conversations), v AS (SELECT conv_id, turn, coalesce(CASE WHEN regexp_matches(x, '^[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN TRY_CAST(x AS DOUBLE) END, TRY_CAST(nullif(regexp_extract(x, '\\b0?\\.[0-9]+|\\b1\\.0\\b|\\b0\\b|\\b1\\b'), '') AS DOUBLE)) s FROM t)
 SELECT conv_id, turn, CASE WHEN s IS NOT NULL THEN least(greatest(s, 0.0), 1.0)::DOUBLE END score FROM v""")
 def parsed_scores(spark, d):
     """T30."""
@@ -526,12 +520,15 @@ def topic_weights(spark, d):
 
 
 @query(EDGES + """, q AS (SELECT 'n' || n_nationkey paper_id, 'n' || (n_nationkey + 1) reviewer_id FROM nation WHERE n_nationkey < 24),
-br AS (SELECT paper_id, reviewer_id, count(DISTINCT y.src) bridge FROM q JOIN n x ON x.src = paper_id JOIN n m ON m.src = x.dst JOIN n y ON y.src = m.dst AND y.dst = reviewer_id WHERE m.dst <> paper_id AND x.dst <> reviewer_id GROUP BY 1, 2)
-SELECT paper_id, reviewer_id, round(least(1.0::DOUBLE, ln(1 + coalesce(bridge, 0)) / 5), 6) path_confidence FROM q LEFT JOIN br USING (paper_id, reviewer_id)""")
+di AS (SELECT paper_id, reviewer_id, 2 * count(*) k FROM q JOIN n x ON x.src = paper_id JOIN n y ON y.src = reviewer_id AND y.dst = x.dst GROUP BY 1, 2),
+ed AS (SELECT paper_id, reviewer_id, 2 * count(*) k FROM q JOIN n ON src = paper_id AND dst = reviewer_id GROUP BY 1, 2),
+th AS (SELECT paper_id, reviewer_id, count(*) k FROM q JOIN n x ON x.src = paper_id JOIN n m ON m.src = x.dst JOIN n y ON y.src = m.dst AND y.dst = reviewer_id WHERE m.dst <> paper_id AND x.dst <> reviewer_id GROUP BY 1, 2),
+al AS (SELECT paper_id, reviewer_id, least(100, sum(k)) paths FROM (SELECT * FROM di UNION ALL SELECT * FROM ed UNION ALL SELECT * FROM th) GROUP BY 1, 2)
+SELECT paper_id, reviewer_id, coalesce(paths, 0)::BIGINT paths, round(least(1.0::DOUBLE, ln(1 + coalesce(paths, 0)) / 5), 6) path_confidence FROM q LEFT JOIN al USING (paper_id, reviewer_id)""")
 def path_confidence(spark, d):
     """nations' paths through suppliers and parts."""
     q = table(spark, d, "nation").where("n_nationkey < 24").select(F.concat(F.lit("n"), "n_nationkey").alias("paper_id"), F.concat(F.lit("n"), (F.col("n_nationkey") + 1).cast("string")).alias("reviewer_id"))
-    return K.overlap_score(q, _edges(spark, d)).select("paper_id", "reviewer_id", F.round(K.path_confidence(F.col("bridge").cast("double")), 6).alias("path_confidence"))
+    return K.path_counts(q, _edges(spark, d)).withColumn("path_confidence", F.round(K.path_confidence(F.col("paths")), 6))
 
 
 @query(EDGES + """, i AS (SELECT 'n' || n_nationkey id FROM nation), f AS (SELECT id, id term, 1.0::DOUBLE w FROM i UNION ALL SELECT id, dst, 1.0 FROM i JOIN n ON src = id UNION ALL SELECT id, y.dst, 0.5 FROM i JOIN n x ON x.src = id JOIN n y ON y.src = x.dst),
@@ -557,31 +554,76 @@ def citation_weighted_similarity(spark, d):
 
 @query(RANKED + """SELECT r.paper_id, r.reviewer_id, rank, round(score, 6) score, 'topic ' || ea.label title, 'group ' || eb.label AS "name", ea.label = eb.label in_truth
 FROM r JOIN embeddings ea ON ea.vec_id = r.paper_id JOIN embeddings eb ON eb.vec_id = r.reviewer_id WHERE rank <= 3""")
-def results_table(spark, d, papers=FIRST):
+def results_table(spark, d):
     """The top three of each paper with titles, names and the truth."""
     e = table(spark, d, "embeddings")
     titles = e.select(F.col("vec_id").alias("paper_id"), F.concat(F.lit("topic "), "label").alias("title"))
     names = e.select(F.col("vec_id").alias("reviewer_id"), F.concat(F.lit("group "), "label").alias("name"))
-    return X.results_table(_ranked(spark, d, papers=papers), titles, names, _truth(spark, d, papers=papers), 3).select("paper_id", "reviewer_id", "rank", F.round("score", 6).alias("score"), "title", "name", "in_truth")
+    return X.results_table(_ranked(spark, d), titles, names, _truth(spark, d), 3).select("paper_id", "reviewer_id", "rank", F.round("score", 6).alias("score"), "title", "name", "in_truth")
+
+
+def _conflicts(rows):
+    """Every eleventh sum of ids stands for a conflict."""
+    return rows.where(F.pmod(F.col("paper_id") + F.col("reviewer_id"), F.lit(11)) == 0).select("paper_id", "reviewer_id", F.lit(0.75).alias("coi_score"), F.lit(False).alias("flagged"))
+
+
+@query(SIGNALS + """, f AS (SELECT *, min(semantic) OVER p lo, max(semantic) OVER p hi FROM g WINDOW p AS (PARTITION BY paper_id))
+SELECT paper_id, reviewer_id, round(0.85 * CASE WHEN hi - lo <= 1e-8 THEN 0 ELSE (semantic - lo) / (hi - lo) END + 0.05 * kg + 0.10 * (((paper_id % 10) / 10.0::DOUBLE + 0.5 + profile) / 3), 6) score FROM f WHERE (paper_id + reviewer_id) % 11 <> 0""")
+def fusion_quality_coi(spark, d):
+    """The fusion score of every ranked pair without a conflict."""
+    rows = _signals(spark, d)
+    named = rows.select("paper_id", "reviewer_id", F.col("semantic").alias("sim"), "kg", ((F.col("paper_id") % 10) / 10.0).alias("quality"), F.lit(None).cast("double").alias("acceptance"), F.col("profile").alias("reliability"))
+    return G.fusion_scores(named, _conflicts(rows))
 
 
-@query(SIGNALS + """, f AS (SELECT *, 0.6 * base + 0.3 * kg + 0.1 * profile sc FROM g WHERE (paper_id + reviewer_id) % 11 <> 0), y AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(sc, 9) DESC, reviewer_id) rk FROM f)
-SELECT paper_id, reviewer_id, round(sc, 6) score, rk rank FROM y WHERE rk <= 10""")
-def fusion_quality_coi(spark, d, papers=FIRST):
-    """Fused scores ranked after the pairs in conflict have gone."""
-    rows = _signals(spark, d, papers=papers)
-    coi = rows.where(F.pmod(F.col("paper_id") + F.col("reviewer_id"), F.lit(11)) == 0).select("paper_id", "reviewer_id", F.lit(0.75).alias("coi_score"), F.lit(False).alias("flagged"))
-    rows = R.without_conflicts(rows, coi).withColumn("score", 0.6 * F.col("base") + 0.3 * F.col("kg") + 0.1 * F.col("profile"))
-    return rows.withColumn("rank", S.rank_by(F.col("score"), F.col("reviewer_id"), by=["paper_id"])).where("rank <= 10").select("paper_id", "reviewer_id", F.round("score", 6).alias("score"), "rank")
+@query(SIGNALS + """, hd AS (SELECT *, CASE WHEN kg < 0.03 THEN kg * 0.2 ELSE kg END k FROM g WHERE true QUALIFY row_number() OVER (PARTITION BY paper_id ORDER BY round(semantic, 9) DESC, reviewer_id) <= 20),
+f AS (SELECT *, min(semantic) OVER p l1, max(semantic) OVER p h1, min(k) OVER p l2, max(k) OVER p h2, min(profile) OVER p l3, max(profile) OVER p h3 FROM hd WHERE (paper_id + reviewer_id) % 11 <> 0 WINDOW p AS (PARTITION BY paper_id)),
+sq AS (SELECT *, (0.85 * CASE WHEN h1 - l1 <= 1e-8 THEN 0 ELSE (semantic - l1) / (h1 - l1 + 1e-8) END + 0.02 * CASE WHEN h2 - l2 <= 1e-8 THEN 0 ELSE (k - l2) / (h2 - l2 + 1e-8) END + 0.08 * CASE WHEN h3 - l3 <= 1e-8 THEN 0 ELSE (profile - l3) / (h3 - l3 + 1e-8) END) * CASE WHEN semantic < 0.3 THEN 0.5 ELSE 1 END sc FROM f),
+b AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY round(sc, 9) DESC, reviewer_id) n FROM sq), e AS (SELECT *, sc + CASE WHEN n <= 10 THEN 0.08::DOUBLE / n ELSE 0 END x FROM b)
+SELECT paper_id, reviewer_id, round(x, 6) score, row_number() OVER (PARTITION BY paper_id ORDER BY round(x, 9) DESC, reviewer_id) rank FROM e""")
+def hybrid_scores(spark, d):
+    """F03."""
+    rows = _signals(spark, d)
+    named = rows.select("paper_id", "reviewer_id", F.col("semantic").alias("sim"), "kg", F.col("profile").alias("key"))
+    return G.hybrid_scores(named, _conflicts(rows)).withColumn("score", F.round("score", 6))
+
+
+@query(SIGNALS + "SELECT paper_id, reviewer_id, round(0.7 * semantic + 0.2 * kg + 0.1 * profile + CASE WHEN profile > 0.15 THEN 0.05 ELSE 0 END, 6) score FROM g")
+def single_paper_scores(spark, d):
+    """F04."""
+    return G.single_paper_scores(_signals(spark, d).withColumnsRenamed({"semantic": "sim", "profile": "key"}))
+
+
+#: Weights of the registered full ranking: parameters of this query, not published values.
+FULL = G.Ranking(weights={"similarity": 0.40, "authority": 0.20, "kg": 0.15, "profile": 0.15, "workload": 0.10}, rrf_weight=0.3)
+
+
+@query(SIGNALS + """, x AS (SELECT *, ((paper_id * 11 + reviewer_id * 17) % 97) / 96.0::DOUBLE llm, ((paper_id + reviewer_id) % 10) / 10.0::DOUBLE conf, (paper_id + reviewer_id) % 11 = 0 flagged,
+ row_number() OVER (PARTITION BY paper_id ORDER BY round(semantic, 9) DESC, reviewer_id) sr, min(semantic) OVER (PARTITION BY paper_id) lo, max(semantic) OVER (PARTITION BY paper_id) hi FROM g),
+n AS (SELECT *, CASE WHEN hi - lo <= 1e-8 THEN 0.5::DOUBLE ELSE (semantic - lo) / (hi - lo + 1e-8) END sim, CASE WHEN sr <= 12 THEN kg ELSE 0 END k, CASE WHEN sr <= 20 THEN llm ELSE 0 END l FROM x),
+s0 AS (SELECT *, least(greatest(0.40 * sim + 0.20 * profile + 0.15 * least(k, sim + 0.25) * conf + 0.15 * l + 0.10, 0), 1) z0 FROM n),
+s1 AS (SELECT *, z0 * CASE WHEN sim < 0.40 THEN 0.75 ELSE 1 END * CASE WHEN reviewer_id % 40 <= 2 THEN 0.68 ELSE 1 END z1 FROM s0),
+s2 AS (SELECT *, least(greatest(CASE reviewer_id % 3 WHEN 0 THEN z1 + 0.05 WHEN 2 THEN greatest(z1, 0.58 * sim) ELSE z1 END, 0), 1) z FROM s1),
+f AS (SELECT *, (1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY paper_id ORDER BY round(sim, 9) DESC, reviewer_id)) + 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY paper_id ORDER BY round(profile, 9) DESC, reviewer_id))
+ + 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY paper_id ORDER BY round(k * conf, 9) DESC, reviewer_id)) + 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY paper_id ORDER BY round(CASE WHEN flagged THEN -1 ELSE z END, 9) DESC, reviewer_id))) / (4.0::DOUBLE / 61) rrf FROM s2),
+u AS (SELECT *, CASE WHEN NOT flagged THEN 0.7 * z + 0.3 * rrf END sc FROM f)
+SELECT paper_id, reviewer_id, CASE reviewer_id % 3 WHEN 0 THEN 'expert' WHEN 1 THEN 'moderate' ELSE 'fresher' END AS role, round(sc, 6) score, row_number() OVER (PARTITION BY paper_id ORDER BY round(sc, 9) DESC NULLS LAST, reviewer_id) rank,
+ (sim < 0.40)::INT + (sim < 0.50)::INT + (z < 0.25)::INT + flagged::INT n_reasons FROM u""")
+def ranked_reviewers(spark, d):
+    """The full ranking of every paper's candidates."""
+    p, r = F.col("paper_id"), F.col("reviewer_id")
+    role = F.when(r % 3 == 0, "expert").when(r % 3 == 1, "moderate").otherwise("fresher")
+    rows = _signals(spark, d).select("paper_id", "reviewer_id", F.col("semantic").alias("similarity"), "kg", (F.pmod(p + r, F.lit(10)) / 10.0).alias("kg_confidence"), F.col("profile").alias("authority"), (F.pmod(p * 11 + r * 17, F.lit(97)) / 96.0).alias("profile"), role.alias("role"), (r % 40).alias("h"), (F.pmod(p + r, F.lit(11)) == 0).alias("flagged"))
+    return G.rank_reviewers(rows, FULL).select("paper_id", "reviewer_id", "role", F.round("score", 6).alias("score"), "rank", F.size("reasons").alias("n_reasons"))
 
 
 @query(SIGNALS + """, x AS (SELECT *, reviewer_id % 40 h, CASE reviewer_id % 3 WHEN 0 THEN 'expert' WHEN 1 THEN 'moderate' ELSE 'fresher' END AS role FROM g), a AS (SELECT *, CASE WHEN semantic < 0.4 THEN base * 0.75 ELSE base END s1 FROM x),
 b AS (SELECT *, CASE WHEN h <= 2 THEN s1 * 0.68 ELSE s1 END s2 FROM a), c AS (SELECT *, CASE WHEN role = 'fresher' THEN greatest(s2, 0.58 * semantic) ELSE s2 END s3 FROM b)
 SELECT paper_id, reviewer_id, role, round(least(greatest(CASE WHEN role = 'expert' THEN s3 + 0.05 ELSE s3 END, 0), 1), 6) score FROM c""")
-def score_policy(spark, d, papers=FIRST):
+def score_policy(spark, d):
     """penalties and bonuses in their order."""
     role = F.when(F.col("reviewer_id") % 3 == 0, "expert").when(F.col("reviewer_id") % 3 == 1, "moderate").otherwise("fresher")
-    rows = _signals(spark, d, papers=papers).withColumn("role", role)
+    rows = _signals(spark, d).withColumn("role", role)
     return rows.select("paper_id", "reviewer_id", "role", F.round(S.policy(F.col("base"), F.col("semantic"), F.col("reviewer_id") % 40, F.col("role")), 6).alias("score"))
 
 
@@ -589,10 +631,10 @@ def score_policy(spark, d, papers=FIRST):
 w AS (SELECT i.paper_id, avg(1 - CASE (i.a = j.a)::INT + (i.b = j.b)::INT WHEN 2 THEN 1.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE / 3 ELSE 0 END) dissimilarity FROM best i JOIN best j ON i.paper_id = j.paper_id AND i.r < j.r GROUP BY 1),
 tok AS (SELECT paper_id, tk, count(*) n FROM (SELECT paper_id, 'a' || a tk FROM best UNION ALL SELECT paper_id, 'b' || b FROM best) GROUP BY 1, 2), sh AS (SELECT paper_id, n::DOUBLE / sum(n) OVER (PARTITION BY paper_id) q FROM tok), e AS (SELECT paper_id, -sum(q * log2(q)) / log2(greatest(2, count(*))::DOUBLE) entropy FROM sh GROUP BY 1)
 SELECT paper_id, round(dissimilarity, 6) dissimilarity, round(entropy, 6) entropy FROM (SELECT DISTINCT paper_id FROM best) LEFT JOIN w USING (paper_id) LEFT JOIN e USING (paper_id)""")
-def panel_pairwise_diversity(spark, d, papers=FIRST):
+def panel_pairwise_diversity(spark, d):
     """Over the best candidate of each role."""
     best = S.rank_by(F.col("base"), F.col("reviewer_id"), by=["paper_id", "slot"])
-    rows = _signals(spark, d, papers=papers).withColumn("slot", F.col("reviewer_id") % 3).withColumn("n", best).where("n = 1")
+    rows = _signals(spark, d).withColumn("slot", F.col("reviewer_id") % 3).withColumn("n", best).where("n = 1")
     terms = F.array(F.concat(F.lit("a"), F.col("reviewer_id") % 7), F.concat(F.lit("b"), F.col("reviewer_id") % 5))
     return E.pairwise_diversity(rows.select("paper_id", "slot", terms.alias("tokens"))).select("paper_id", F.round("dissimilarity", 6).alias("dissimilarity"), F.round("entropy", 6).alias("entropy"))
 
@@ -602,11 +644,3 @@ def availability_penalty(spark, d):
     """scores lowered by the share of the capacity that is used."""
     p = R.authority(_people(spark, d))
     return p.select("reviewer_id", F.round(S.available(F.col("authority"), F.col("reviewer_id") % 16, F.col("capacity")), 6).alias("score"))
-
-
-# ---- the same over a growing set of papers, every 50th id
-
-for _name in ("vector_topk", "ranking_quality", "ranking_quality_by_k", "map_conditional", "hit_rate_at_k", "coverage_at_k", "normalisations", "rrf_fusion", "fusion_modes", "fusion_weight_grid", "score_contributions", "weighted_scores", "paired_t_statistic", "panel_role_balanced", "assign_greedy_capacity", "learned_ranker_oof", "results_table", "fusion_quality_coi", "score_policy", "panel_pairwise_diversity"):
-    QUERIES[f"{_name}_every50"] = partial(QUERIES[_name], papers=EVERY_50TH)
-    if _name in SQL:
-        SQL[f"{_name}_every50"] = SQL[_name].replace(FIRST, EVERY_50TH)

@@ -9,6 +9,7 @@ from panelspark.functions import text as T
 from panelspark.operators import evaluate as E
 from panelspark.operators import knowledge as K
 from panelspark.operators import ranking as R
+from panelspark.operators import scoring as G
 from panelspark.sources import tables as X
 from panelspark.streaming import workload
 
@@ -34,7 +35,7 @@ def test_ranking_fixture(spark):
     assert (r.rr, round(r.ap, 6), round(r.p, 6), round(r.r, 6), round(r.ndcg, 6), round(r.ap_k, 6)) == (0.5, 0.333333, 0.333333, 0.333333, 0.296082, 0.166667)
 
 
-@pytest.mark.parametrize("text,want", [("0.76", 0.76), ("Score: 0.81.", 0.81), ("1.7", 1.0), ("-3", 0.0), (".5", 0.5), ("1 of 2", 1.0), ("Score is 0.9 or 0.2", 0.9), ("none", None), ("7/10", None), ("95%", None), ("nan", None)])
+@pytest.mark.parametrize("text,want", [("0.76", 0.76), ("Score: 0.81.", 0.81), ("1.7", 1.0), ("-3", 0.0), (".5", 0.5), ("1 of 2", 1.0), ("Score is 0.9 or 0.2", 0.9), ("none", None), ("7/10", None), ("95%", None), ("nan", None), ("got 1.5", 1.0), ("0%", 0.0), ("1/2", 1.0), ("1e-1", 0.1), ("Result .42", None)])
 def test_parse_score(spark, text, want):
     assert one(spark, T.parse_score(F.lit(text))) == want
 
@@ -144,3 +145,37 @@ def test_live_workload_stream(spark, tmp_path):
         workload.start(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = {r.reviewer_id: r.load for r in workload.counts(workload.read(spark, str(tmp_path / "out"))).collect()}
     assert got == {10: 1, 12: 1}
+
+
+def test_bridges_and_paths_by_hand(spark):
+    """Two topics of the paper are known through one publication: two bridges, two paths of three steps."""
+    e = spark.createDataFrame([("p", "t1"), ("p", "t2"), ("r", "pub"), ("pub", "t1"), ("pub", "t2"), ("p", "q"), ("r", "q")], "src string, dst string")
+    pairs = spark.createDataFrame([("p", "r"), ("t1", "t2"), ("p", "lost")], "paper_id string, reviewer_id string")
+    r = {(x.paper_id, x.reviewer_id): x for x in K.overlap_score(pairs, e).collect()}
+    assert (r["p", "r"].direct, r["p", "r"].bridge) == (1, 2) and round(r["p", "r"].score, 6) == round(1.7 / 3, 6)
+    n = {(x.paper_id, x.reviewer_id): x.paths for x in K.path_counts(pairs, e).collect()}
+    # the shared neighbour counts twice, as one and as a path; t1 and t2 share p and pub
+    assert n == {("p", "r"): 4, ("t1", "t2"): 4, ("p", "lost"): 0}
+
+
+def test_utilisation_bands(spark):
+    loads = [0, 39, 40, 70, 71, 90, 91, 99, 100, 120]
+    got = spark.createDataFrame([(x,) for x in loads], "load int").select(E.utilisation_label(F.col("load"), F.lit(100)).alias("x")).collect()
+    assert [r.x for r in got] == ["Unused", "Low", "Moderate", "Moderate", "High", "High", "Near Capacity", "Near Capacity", "At Capacity", "At Capacity"]
+
+
+def test_a_known_flag_is_kept(spark):
+    score, flag = R.coi_status(F.lit(0.2), F.lit(False), F.lit(False), flagged=F.lit(True))
+    assert one(spark, score) == 0.75 and one(spark, flag)
+
+
+def test_full_ranking_by_hand(spark):
+    rows = [("p", "a", 0.9, 0.2, 1.0, 0.5, 0.4, "expert", 9, False, 0, 6), ("p", "b", 0.5, 1.0, 1.0, 0.0, 0.1, "fresher", 1, False, 6, 6), ("p", "c", 0.7, 0.9, 0.5, 1.0, 0.2, "moderate", 5, True, 0, 6), ("p", "d", 0.7, 0.9, 0.5, 1.0, 0.2, "moderate", 5, False, 3, 6)]
+    frame = spark.createDataFrame(rows, "paper_id string, reviewer_id string, similarity double, kg double, kg_confidence double, profile double, authority double, role string, h int, flagged boolean, load int, capacity int")
+    got = {r.reviewer_id: r for r in G.rank_reviewers(frame, G.Ranking(weights={"similarity": 0.5, "authority": 0.2, "kg": 0.2, "profile": 0.1})).collect()}
+    # a: .5 + .08 + .04 + .05, and .05 for an expert; d: .25 + .04 + .2 * min(.9, .75) * .5 + .1, half of it free
+    assert got["a"].score == pytest.approx(0.72, abs=1e-6) and got["d"].score == pytest.approx(0.465 / 2, abs=1e-6)
+    assert got["b"].score is None and got["c"].score is None and [got[k].rank for k in "adbc"] == [1, 2, 3, 4]
+    assert "conflict of interest" in got["c"].reasons and got["a"].reasons == []
+    plain = {r.reviewer_id: r.score for r in G.rank_reviewers(frame.drop("load", "capacity"), G.Ranking(mode="semantic")).collect()}
+    assert plain["b"] == pytest.approx(0.0, abs=1e-6) and plain["d"] == pytest.approx(0.5, abs=1e-6)
