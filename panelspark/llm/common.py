@@ -106,16 +106,22 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("src").alias("node"), F.col("dst").alias("comp")).unionByName(roots)
 
 
-def alike(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs ``(a, b)`` whose ``sets(id, grams)``, arrays of distinct elements, have a Jaccard similarity of ``threshold`` or more.
+def alike(pairs: DataFrame, sets: DataFrame, threshold: float, as_set: Callable[[Column], Column] = lambda grams: grams) -> DataFrame:
+    """The pairs ``(a, b)`` whose ``sets(id, grams)`` have a Jaccard similarity of ``threshold`` or more.
 
-    The sets of ``a`` travel with the pairs, so ``a`` should be the side that occurs in many.
+    ``as_set`` makes an array of distinct elements of grams. The sets of ``a`` travel with
+    the pairs, so ``a`` should be the side that occurs in many, and grams short.
     """
     left, right = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
-    na, nb = F.size("ga"), F.size("gb")
-    fit = F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9  # the sizes alone rule many out
-    enough = F.when(fit, F.size(F.array_intersect("ga", "gb")) * (1 + threshold) >= (na + nb) * threshold - 1e-9).otherwise(False)
-    return pairs.join(left, "a").join(right, "b").where(enough).select("a", "b")
+
+    def enough(p: Column) -> Column:
+        na, nb = F.size(p["x"]), F.size(p["y"])
+        fit = F.least(na, nb) >= F.greatest(na, nb) * threshold - 1e-9  # the sizes alone rule many out
+        return F.when(fit, F.size(F.array_intersect(p["x"], p["y"])) * (1 + threshold) >= (na + nb) * threshold - 1e-9).otherwise(False)
+
+    # a lambda over one struct: the sets are made once for a pair
+    both = F.array(F.struct(as_set(F.col("ga")).alias("x"), as_set(F.col("gb")).alias("y")))
+    return pairs.join(left, "a").join(right, "b").where(F.exists(both, enough)).select("a", "b")
 
 
 def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
@@ -149,11 +155,12 @@ def parities(grams: Column) -> Column:
     return F.struct(*map(word, range(PARITIES)))
 
 
-def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, small: int = SMALL) -> DataFrame:
+def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, small: int = SMALL, as_set: Callable[[Column], Column] = lambda grams: grams) -> DataFrame:
     """Components ``(node, comp)`` of the links of similarity ``threshold`` or more among members of one bucket; unlinked ids may have no row.
 
     ``buckets(key, id)``: 64-bit names of different sets, each once in a bucket. ``sets_of``
-    takes a frame of ids and returns ``(id, grams)`` with their sets.
+    takes a frame of ids and returns ``(id, grams)`` with their sets, or with something
+    shorter of which ``as_set`` makes them.
 
     Every member is compared with the centre of its bucket, so the pairs grow with the
     members and not with their square; four kinds of keys take different centres. What is
@@ -170,7 +177,7 @@ def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresh
     member = written(buckets.join(ends, "key"))
     sets = written(sets_of(member.select("id").distinct()))
     pairs = member.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
-    first = components(alike(pairs, sets, threshold).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    first = components(alike(pairs, sets, threshold, as_set).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     named = member.where("m > 2").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     several = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
@@ -180,7 +187,7 @@ def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresh
     cross = few.join(other, "key").where("id < to and comp <> far").select(F.col("id").alias("a"), F.col("to").alias("b"), F.col("comp").alias("src"), F.col("far").alias("dst"))
     many = mixed.where(F.col("m") > small).select("id", "comp").distinct()
     if not many.isEmpty():
-        near = written(prefixes(sets.join(many, "id").withColumn("odd", parities(F.col("grams"))), threshold))
+        near = written(prefixes(sets.join(many, "id").withColumn("grams", as_set(F.col("grams"))).withColumn("odd", parities(F.col("grams"))), threshold))
         per = near.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
         near = near.join(per.where("comps > 1").select("g", F.col("top.comp").alias("top")), "g")
         there = near.select("g", F.col("id").alias("to"), F.col("n").alias("m"), F.col("at").alias("at2"), F.col("odd").alias("odd2"), F.col("comp").alias("far"), (F.col("comp") == F.col("top")).alias("main"))
@@ -191,7 +198,7 @@ def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresh
         meet = near.where("comp <> top").join(there, "g").where(F.expr("comp <> far and (main or id < to)") & fit)
         cross = cross.unionByName(meet.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), F.when(F.col("id") < F.col("to"), F.col("comp")).otherwise(F.col("far")).alias("src"), F.when(F.col("id") < F.col("to"), F.col("far")).otherwise(F.col("comp")).alias("dst")))
     cross = written(cross.distinct())
-    more = alike(cross.select("a", "b"), sets, threshold)
+    more = alike(cross.select("a", "b"), sets, threshold, as_set)
     second = components(cross.join(more, ["a", "b"]).select("src", "dst"))
     nodes = first.unionByName(second.join(first, "node", "left_anti").select("node", F.col("node").alias("comp")))
     last = second.select(F.col("node").alias("comp"), F.col("comp").alias("root"))
