@@ -140,7 +140,8 @@ def prefixes(rows: DataFrame, threshold: float) -> DataFrame:
     order = F.sort_array(F.transform("grams", lambda g: F.struct(F.substring(F.lit(bytes(level)), slot(g) + 1, F.lit(1)).alias("k"), F.xxhash64(g).alias("h"), g.alias("g"))))
     first = F.slice(order, F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
     each = rows.withColumns({"n": n, "first": F.transform(first, lambda x, i: F.struct(x["g"].alias("g"), i.alias("at")))})
-    return each.select(*[c for c in rows.columns if c != "grams"], "n", F.explode("first").alias("x")).select("*", "x.g", "x.at").drop("x")
+    # a plain explode has the optimizer test the array's size below the join too, and so make every set twice
+    return each.select(*[c for c in rows.columns if c != "grams"], "n", F.explode_outer("first").alias("x")).where("x is not null").select("*", "x.g", "x.at").drop("x")
 
 
 def parities(grams: Column) -> Column:
@@ -155,12 +156,28 @@ def parities(grams: Column) -> Column:
     return F.struct(*map(word, range(PARITIES)))
 
 
-def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, small: int = SMALL, as_set: Callable[[Column], Column] = lambda grams: grams) -> DataFrame:
+def differing(odd: Column, odd2: Column, names: list[str]) -> Column:
+    """How many elements two sets with these parities, structs of the longs ``names``, differ by, at least."""
+    return sum((F.bit_count(odd[p].bitwiseXOR(odd2[p])) for p in names), F.lit(0))
+
+
+def possible(pairs: DataFrame, bounds: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``(a, b, ...)`` that ``bounds(id, n, odd)``, sizes and parities of the sets, don't rule out: all alike by ``threshold`` or more, and few others."""
+    left = bounds.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa"))
+    right = bounds.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob"))
+    size = F.col("na") + F.col("nb")
+    unlike = differing(F.col("oa"), F.col("ob"), bounds.schema["odd"].dataType.names)
+    fit = (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9) & (size - unlike >= size * (2 * threshold / (1 + threshold)) - 1e-9)
+    return pairs.join(left, "a").join(right, "b").where(fit).select(*pairs.columns)
+
+
+def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: float, small: int = SMALL, as_set: Callable[[Column], Column] = lambda grams: grams, bounds: DataFrame | None = None) -> DataFrame:
     """Components ``(node, comp)`` of the links of similarity ``threshold`` or more among members of one bucket; unlinked ids may have no row.
 
     ``buckets(key, id)``: 64-bit names of different sets, each once in a bucket. ``sets_of``
     takes a frame of ids and returns ``(id, grams)`` with their sets, or with something
-    shorter of which ``as_set`` makes them.
+    shorter of which ``as_set`` makes them. ``bounds(id, n, odd)``, where given, holds the sets'
+    sizes and ``parities``: they rule out most unlike pairs before sets are made.
 
     Every member is compared with the centre of its bucket, so the pairs grow with the
     members and not with their square; four kinds of keys take different centres. What is
@@ -177,6 +194,7 @@ def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresh
     member = written(buckets.join(ends, "key"))
     sets = written(sets_of(member.select("id").distinct()))
     pairs = member.where("id <> c").select(F.col("c").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = pairs if bounds is None else possible(pairs, bounds, threshold)
     first = components(alike(pairs, sets, threshold, as_set).select(F.col("a").alias("src"), F.col("b").alias("dst")))
 
     named = member.where("m > 2").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -187,17 +205,19 @@ def linked(buckets: DataFrame, sets_of: Callable[[DataFrame], DataFrame], thresh
     cross = few.join(other, "key").where("id < to and comp <> far").select(F.col("id").alias("a"), F.col("to").alias("b"), F.col("comp").alias("src"), F.col("far").alias("dst"))
     many = mixed.where(F.col("m") > small).select("id", "comp").distinct()
     if not many.isEmpty():
-        near = written(prefixes(sets.join(many, "id").withColumn("grams", as_set(F.col("grams"))).withColumn("odd", parities(F.col("grams"))), threshold))
+        whole = sets.join(many, "id").withColumn("grams", as_set(F.col("grams")))
+        near = prefixes(whole.withColumn("odd", parities(F.col("grams"))), threshold) if bounds is None else prefixes(whole, threshold).join(bounds.select("id", "odd"), "id")
+        near = written(near)
         per = near.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp")).alias("top"), F.count("*").alias("comps"))
         near = near.join(per.where("comps > 1").select("g", F.col("top.comp").alias("top")), "g")
         there = near.select("g", F.col("id").alias("to"), F.col("n").alias("m"), F.col("at").alias("at2"), F.col("odd").alias("odd2"), F.col("comp").alias("far"), (F.col("comp") == F.col("top")).alias("main"))
         # what two sets must share; what follows a shared element, and the parities, bound it
         least = (F.col("n") + F.col("m")) * (threshold / (1 + threshold)) - 1e-9
-        unlike = sum((F.bit_count(F.col(f"odd.p{w}").bitwiseXOR(F.col(f"odd2.p{w}"))) for w in range(PARITIES)), F.lit(0))
+        unlike = differing(F.col("odd"), F.col("odd2"), near.schema["odd"].dataType.names)
         fit = (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("at2")) >= least) & (F.col("n") + F.col("m") - unlike >= 2 * least)
         meet = near.where("comp <> top").join(there, "g").where(F.expr("comp <> far and (main or id < to)") & fit)
         cross = cross.unionByName(meet.select(F.least("id", "to").alias("a"), F.greatest("id", "to").alias("b"), F.when(F.col("id") < F.col("to"), F.col("comp")).otherwise(F.col("far")).alias("src"), F.when(F.col("id") < F.col("to"), F.col("far")).otherwise(F.col("comp")).alias("dst")))
-    cross = written(cross.distinct())
+    cross = written(cross.distinct() if bounds is None else possible(cross.distinct(), bounds, threshold))
     more = alike(cross.select("a", "b"), sets, threshold, as_set)
     second = components(cross.join(more, ["a", "b"]).select("src", "dst"))
     nodes = first.unionByName(second.join(first, "node", "left_anti").select("node", F.col("node").alias("comp")))
