@@ -95,6 +95,26 @@ def test_rows_without_an_id_or_with_a_shared_one_stay_apart(spark):
     assert sorted(x for r in lines.cleaned(both).collect() for x in r.text.split("\n")) == ["first line here", "second line here", "something else", "third"]
 
 
+def test_sizes_and_parities_rule_out_no_alike_pair(spark):
+    rng = random.Random(11)
+    texts = []
+    for size in (3, 30, 200, 900, 3000):
+        base = [rng.choice("abcdefgh ") for _ in range(size)]
+        for edits in (0, 1, size // 60, size // 40, size // 20, size):
+            line = list(base)
+            for _ in range(edits):
+                line[rng.randrange(size)] = rng.choice("abcdefgh ")
+            texts.append("".join(line))
+    texts = [t for t in sorted(set(texts)) if t]
+    sets = [{t[i : i + 5] for i in range(max(1, len(t) - 4))} for t in texts]
+    bounds = lines.signed(spark.createDataFrame(list(enumerate(texts)), "id long, line string")).select("id", "n", "odd").persist()
+    assert dict(bounds.select("id", "n").collect()) == {i: len(s) for i, s in enumerate(sets)}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i)]
+    kept = {tuple(r) for r in common.possible(spark.createDataFrame(pairs, "a long, b long"), bounds, 0.8).collect()}
+    alike = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert alike and alike <= kept and len(kept) < len(pairs) / 2
+
+
 def test_short_lines_take_part(spark):
     frame = spark.createDataFrame([(1, "yes\nno"), (2, "Yes \nmaybe"), (3, "abcd\nabce")], "doc_id long, text string")
     assert {r.doc_id: r.removed for r in lines.removals(frame).collect()} == {2: [0]}
