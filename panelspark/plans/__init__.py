@@ -1,3 +1,3 @@
 """The registered queries over the driver's tables, by subject; importing this registers them all."""
 
-from . import catalog, panels  # noqa: F401
+from . import catalog, panels, profiles, terms  # noqa: F401
