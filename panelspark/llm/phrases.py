@@ -25,21 +25,21 @@ from collections.abc import Iterator
 from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import discard, may_contain, member_bits, written
 
 LEAST = 10
 #: A phrase goes if a longer one that holds it has this share of its occurrences, in percent.
 SUBSUMED = 50
 TOP = 2000
 #: Words of a block; a text is never split, so one with more makes a block by itself.
-BLOCK = 4_000_000
+BLOCK = 2_000_000
 SALTS = 64
 SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 #: Stands for a separator: no byte of UTF-8 and no white space.
@@ -54,23 +54,57 @@ def words(text: str | None) -> list[bytes]:
     return [w for w in data.replace(b"\t", b" ").split(b" ") if w]
 
 
+def _packed(codes: np.ndarray) -> pa.Array:
+    """Codes as one compressed value, their low bytes first, then the others: numbers of frequent words are small."""
+    return pa.array([zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes())], pa.binary())
+
+
+def _unpacked(value: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``written``, with encodings for sorted numbers."""
+    return written(df, {"compression": "zstd", "parquet.writer.version": "v2"})
+
+
+def _sized(first: pa.Array, n: int) -> pa.Array:
+    """One value, then n nulls."""
+    return pa.concat_arrays([first, pa.nulls(n, first.type)])
+
+
+def _after(values: pa.Array) -> pa.Array:
+    """One null, then the values."""
+    return pa.concat_arrays([pa.nulls(1, values.type), values])
+
+
 def _blocks(docs: DataFrame) -> DataFrame:
-    """``(block, codes, langs, words, times)``: the words of a block's texts as 32-bit numbers, -1 between pieces, and what each number stands for."""
+    """The words of blocks of texts as a table ``(block, codes, code, lang, word, times)``.
+
+    A row with ``codes`` holds a block's texts as 32-bit numbers, -1 between pieces; the
+    others tell what each number stands for and how often it occurs in the block.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, nth = TaskContext.get().partitionId(), count()
+        task, nth = TaskContext.get().partitionId() << 32, count()
         number, by, parts, held = count(), {}, [], 0
 
         def block() -> pa.RecordBatch:
             codes = np.concatenate(parts)
-            n = sum(map(len, by.values())) - len(by)
-            langs, names = [""] * n, [""] * n
-            for lang, own in by.items():
-                for w, c in own.items():
-                    if c >= 0:
-                        langs[c], names[c] = lang, w.decode()
-            times = np.bincount(codes[codes >= 0], minlength=n)
-            return pa.RecordBatch.from_pydict({"block": [f"{task}-{next(nth)}"], "codes": pa.array([codes.tobytes()], pa.binary()), "langs": [langs], "words": [names], "times": pa.array([times], pa.list_(pa.int64()))})
+            found = [(c, lang, w.decode()) for lang, own in by.items() for w, c in own.items() if c >= 0]
+            code = np.array([c for c, _, _ in found], np.int32)
+            times = np.bincount(codes[codes >= 0], minlength=len(found))[code]
+            n = len(found)
+            columns = {
+                "block": pa.array(np.full(n + 1, task + next(nth))),
+                "codes": _sized(_packed(codes), n),
+                "code": _after(pa.array(code, pa.int32())),
+                "lang": _after(pa.array([x for _, x, _ in found], pa.string())),
+                "word": _after(pa.array([x for _, _, x in found], pa.string())),
+                "times": _after(pa.array(times, pa.int64())),
+            }
+            return pa.RecordBatch.from_pydict(columns)
 
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
@@ -85,49 +119,64 @@ def _blocks(docs: DataFrame) -> DataFrame:
             yield block()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
-    schema = pa.schema([("block", pa.string()), ("codes", pa.binary()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("times", pa.list_(pa.int64()))])
-    return written(rows.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in cut(batches)), "block string, codes binary, langs array<string>, words array<string>, times array<long>"))
+    return _kept(rows.mapInArrow(cut, "block long, codes binary, code int, lang string, word string, times long"))
 
 
 def _pairs(blocks: DataFrame, names: DataFrame) -> DataFrame:
-    """``(block, codes, firsts, seconds, times)``: adjacent pairs of what ``names(at, code, name)`` names, numbered anew in each block."""
+    """Adjacent pairs of what ``names(at, code, name)`` names in each block, numbered anew, as a table ``(block, codes, code, first, second, times)``."""
 
-    def pair(key, block: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        was = np.frombuffer(block["codes"][0], np.int32)
-        codes = np.concatenate([was, [-1]])
+    def pair(key: tuple, block: pa.Table, own: pa.Table) -> pa.Table:
+        was = _unpacked(block["codes"][0].as_py())
+        codes = np.concatenate([was, np.array([-1], np.int32)])
         name = np.full(codes.max(initial=-1) + 2, -1, np.int64)
-        name[own["code"]] = own["name"]
+        name[own["code"].to_numpy()] = own["name"].to_numpy()
         left, right = codes[:-1], codes[1:]
         good = np.flatnonzero((name[left] >= 0) & (name[right] >= 0))  # -1 takes the last place, which has no name
         both, number, times = np.unique(left[good].astype(np.int64) * len(name) + right[good], return_inverse=True, return_counts=True)
         new = np.full(len(was), -1, np.int32)
         new[good] = number
-        return pd.DataFrame({"block": [key[0]], "codes": [new.tobytes()], "firsts": [name[both // len(name)]], "seconds": [name[both % len(name)]], "times": [times]})
-
-    return written(blocks.select("block", "codes").groupBy("block").cogroup(names.groupBy("at")).applyInPandas(pair, "block string, codes binary, firsts array<long>, seconds array<long>, times array<long>"))
-
-
-def _counted(blocks: DataFrame) -> DataFrame:
+        n = len(both)
+        columns = {
+            "block": pa.array(np.full(n + 1, key[0].as_py())),
+            "codes": _sized(_packed(new), n),
+            "code": _after(pa.array(np.arange(n), pa.int32())),
+            "first": _after(pa.array(name[both // len(name)])),
+            "second": _after(pa.array(name[both % len(name)])),
+            "times": _after(pa.array(times, pa.int64())),
+        }
+        return pa.table(columns)
+
+    whole = blocks.where("codes is not null").select("block", "codes")
+    return _kept(whole.groupBy("block").cogroup(names.groupBy("at")).applyInArrow(pair, "block long, codes binary, code int, first long, second long, times long"))
+
+
+def _counted(pairs: DataFrame) -> DataFrame:
     """Frequent pairs ``(first, second, f, name)``."""
-    each = blocks.select(F.explode(F.arrays_zip("firsts", "seconds", "times")).alias("x")).select("x.*")
-    found = each.groupBy(F.col("firsts").alias("first"), F.col("seconds").alias("second")).agg(F.sum("times").alias("f")).where(F.col("f") >= LEAST)
+    found = pairs.where("code is not null").groupBy("first", "second").agg(F.sum("times").alias("f")).where(F.col("f") >= LEAST)
     return written(found.withColumn("name", F.monotonically_increasing_id()))
 
 
+def _named(blocks: DataFrame, frequent: DataFrame, by: list[str]) -> DataFrame:
+    """``(at, code, name)`` of the frequent ones in each block; bits of a fixed size drop most others before the join."""
+    bits = member_bits(frequent.select(F.xxhash64(*by).alias("h")), "h")
+    rows = blocks.where("code is not null").select(F.col("block").alias("at"), "code", *by)
+    return rows.where(may_contain(bits, F.xxhash64(*by))).join(frequent.select("name", *by), by).select("at", "code", "name")
+
+
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
     """Each language's best phrases: ``(lang, rank, phrase, a, l, r, n, score)``."""
     blocks = _blocks(docs)
-    each = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "times")).alias("code", "x")).select("block", "code", "x.langs", "x.words", "x.times")
-    all_words = each.groupBy(F.col("langs").alias("lang"), F.col("words").alias("word")).agg(F.sum("times").alias("f"))
+    all_words = blocks.where("code is not null").groupBy("lang", "word").agg(F.sum("times").alias("f"))
     all_words = written(all_words.withColumn("name", F.monotonically_increasing_id()))
     n = all_words.groupBy("lang").agg(F.sum("f").alias("n"))
     one = all_words.where(F.col("f") >= LEAST)
-    named = each.select("block", "code", F.col("langs").alias("lang"), F.col("words").alias("word")).join(one.select("lang", "word", "name"), ["lang", "word"])
-    pairs = _pairs(blocks, named.select(F.col("block").alias("at"), "code", "name"))
+    pairs = _pairs(blocks, _named(blocks, one, ["lang", "word"]))
+    discard(blocks)
     two = _counted(pairs)
-    own = pairs.select("block", F.posexplode(F.arrays_zip("firsts", "seconds")).alias("code", "x"))
-    own = own.select("block", "code", F.col("x.firsts").alias("first"), F.col("x.seconds").alias("second")).join(two.select("first", "second", "name"), ["first", "second"])
-    three = _counted(_pairs(pairs, own.select(F.col("block").alias("at"), "code", "name")))
+    triples = _pairs(pairs, _named(pairs, two, ["first", "second"]))
+    discard(pairs)
+    three = _counted(triples)
+    discard(triples)
 
     def of(names: DataFrame, prefix: str, *columns: str) -> DataFrame:
         return names.select(F.col("name").alias(prefix), *[F.col(c).alias(f"{prefix}_{c}") for c in columns])
