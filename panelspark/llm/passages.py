@@ -1,11 +1,11 @@
 """Substring deduplication by paragraph MinHash banding.
 
-Two kinds of paragraphs stand for a text. Natural ones are its lines of ``RUN`` words or
+Two kinds of paragraphs stand for a text. Natural ones are its lines of ``NATURAL`` words or
 more: sets of five-word shingles whose MinHash signatures in 10 bands of 3 meet pairs of
 similarity 0.8 with a chance of 0.9992; pairs that collide are verified by exact Jaccard
 similarity (``common.linked``) and removals are clustered by connected components. Sliding
 ones are runs of ``RUN`` words chosen by winnowing (the least hash of every ``EVERY``
-successive runs), so that any passage of ``RUN + EVERY - 1`` = 50 words which two texts
+successive runs), so that any passage of ``RUN + EVERY - 1`` = 37 words which two texts
 share has a run in common, wherever its lines begin and end. They meet by equality,
 which is a similarity of 1: two independent hashes of the run's words must agree. A
 passage found so is then followed word by word to where the two texts part.
@@ -33,7 +33,8 @@ from .common import linked, may_contain, member_bits, written
 from .hashing import Grams, Words, bands, minima, mix
 from .minhash import digest, lists, row_hash
 
-RUN = 38
+NATURAL = 20
+RUN = 25
 #: Of so many successive runs one is chosen; a shared passage goes on for fewer words on either side of its runs.
 EVERY = 13
 THRESHOLD = 0.8
@@ -42,10 +43,10 @@ WORD = re.compile(r"\S+")
 
 
 def natural(lines: list[list[str]]) -> list[tuple[int, int]]:
-    """First and end word of each line of RUN words or more."""
+    """First and end word of each line of NATURAL words or more."""
     out, at = [], 0
     for line in lines:
-        if len(line) >= RUN:
+        if len(line) >= NATURAL:
             out.append((at, at + len(line)))
         at += len(line)
     return out

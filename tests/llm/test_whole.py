@@ -121,21 +121,36 @@ def test_short_lines_take_part(spark):
 
 
 def test_shared_passages_are_cut_to_their_ends(spark):
-    """Passages of 50 to 90 words anywhere in texts: what goes is the passage, whole; 37 words aren't one."""
+    """Passages of 37 to 90 words anywhere in texts: what goes is the passage, whole; 24 words aren't one."""
     rng = random.Random(3)
     rows, want = [], {}
-    for p, size in enumerate([50, 51, 60, 75, 90, 37]):
+    for p, size in enumerate([37, 45, 51, 60, 90, 24]):
         passage = [word(rng, 6) for _ in range(size)]
         for i in range(4):
             before, after = ([word(rng, 7) for _ in range(rng.randrange(0, 80))] for _ in range(2))
             doc = 10 * p + i
             rows.append((doc, " ".join(before + passage + after)))
-            want[doc] = size if i and size >= 50 else 0
+            want[doc] = size if i and size >= 37 else 0
     got = passages.cut(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id")
     assert got.n_removed_words.to_dict() == want
     assert all((got.n_clusters[d] > 0) == (d < 50) for d in want)
 
 
+def test_equal_lines_of_30_words_and_passages_with_a_changed_word_are_found(spark):
+    """60 cases each: lines of 30 words as paragraphs of their own, and passages of 80 words inside longer lines of which one word differs."""
+    rng = random.Random(5)
+    rows, some = [], lambda n, k: " ".join(word(rng, k) for _ in range(n))
+    for p in range(60):
+        line, passage = some(30, 6), [word(rng, 6) for _ in range(80)]
+        changed = list(passage)
+        changed[rng.randrange(80)] = word(rng, 9)
+        rows += [(10 * p, f"{some(25, 7)}\n{line}"), (10 * p + 1, f"{line}\n{some(12, 7)}"), (10 * p + 2, f"{some(30, 7)} {' '.join(passage)} {some(20, 7)}"), (10 * p + 3, f"{some(10, 7)} {' '.join(changed)} {some(40, 7)}")]
+    got = passages.cut(spark.createDataFrame(rows, "doc_id long, text string")).toPandas().set_index("doc_id").n_removed_words
+    assert (got[[10 * p + 1 for p in range(60)]] == 30).all() and (got[[10 * p for p in range(60)]] == 0).all()
+    near = got[[10 * p + 3 for p in range(60)]]
+    assert (near >= 40).all() and near.mean() > 55 and (near <= 79).all()
+
+
 def test_repeats_of_rows_without_an_id_are_cut_apart(spark):
     rng = random.Random(4)
     passage = " ".join(word(rng, 6) for _ in range(60))
