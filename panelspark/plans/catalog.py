@@ -143,7 +143,7 @@ _MODES_SQL = ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE)" for m,
 
 @query(SIGNALS + f", w(mode, a, b, c) AS (VALUES {_MODES_SQL}) SELECT paper_id, reviewer_id, mode, round(least(greatest(a * semantic + b * kg + c * profile, 0), 1), 6) score FROM g, w")
 def fusion_modes(spark, d):
-    """F08-F10, F17, F24, F27."""
+    """F08-F10, F17, F27."""
     return R.by_mode(_signals(spark, d), MODES, ["semantic", "kg", "profile"]).withColumn("score", F.round("score", 6))
 
 
@@ -184,7 +184,7 @@ def weighted_scores(spark, d):
 @query(RANKED + """, v AS (SELECT label, i, avg(embedding[i]::DOUBLE) x FROM embeddings, range(1, 65) q(i) GROUP BY label, i)
 SELECT label, round(sqrt(sum(x * x)), 6) norm, round(max(x) / sqrt(sum(x * x)), 6) top FROM v GROUP BY label""")
 def mean_pooled_profile(spark, d):
-    """M04, M32."""
+    """M04."""
     v = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     norm = F.sqrt(F.sum(F.col("x") * F.col("x")))
     return v.groupBy("label").agg(F.round(norm, 6).alias("norm"), F.round(F.max("x") / norm, 6).alias("top"))
@@ -239,7 +239,7 @@ COI = "WITH c AS (SELECT DISTINCT l_orderkey, l_suppkey FROM lineitem JOIN order
 
 @query(COI + "SELECT count(*) total, count(c.l_orderkey) violations, round(count(c.l_orderkey)::DOUBLE / count(*), 6) rate FROM lineitem l LEFT JOIN c ON l.l_orderkey = c.l_orderkey AND l.l_suppkey = c.l_suppkey")
 def coi_violation_rate(spark, d):
-    """W05, A06, J07, J09."""
+    """W05, A06, J07."""
     return E.coi_violations(_assigned(spark, d), _coi(spark, d))
 
 
@@ -404,7 +404,7 @@ s AS (SELECT id, pos, CASE WHEN len(w) > 5 AND w LIKE '%ies' THEN w[:-4] || 'y'
 g AS (SELECT id, term, count(*) n, min(pos) f FROM s WHERE len(term) > 3 AND NOT list_contains(['paper','method','approach','result','results','based','using','study','system','model','data'], term) GROUP BY 1, 2)
 SELECT id, term, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, f, term) rank FROM g QUALIFY rank <= 5""")
 def keyphrases(spark, d):
-    """T12, T14-T16, T36."""
+    """Single words; key_terms has pairs, phrases and stop words tested after normalising only."""
     return K.keyphrases(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), 5).select("id", "term", "n", "rank")
 
 
@@ -468,7 +468,7 @@ c AS (SELECT x.paper_id, x.reviewer_id, 0.64 * (0.70 * x.semantic + 0.30 * profi
  QUALIFY row_number() OVER (PARTITION BY x.paper_id ORDER BY round(vc, 9) DESC, round(x.semantic, 9) DESC, x.reviewer_id) = 1)
 SELECT paper_id, 1 slot, reviewer_id, round(v, 6) AS "value" FROM a UNION ALL SELECT paper_id, 2, reviewer_id, round(vb, 6) FROM b UNION ALL SELECT paper_id, 3, reviewer_id, round(vc, 6) FROM c""")
 def panel_role_balanced(spark, d):
-    """P01-P07."""
+    """P02-P04, P06, P07 without eligibility and pools; panel_selection has them."""
     return R.role_panel(_candidates(spark, d)).select("paper_id", "slot", "reviewer_id", F.round("value", 6).alias("value"))
 
 
@@ -481,7 +481,7 @@ def assign_greedy_capacity(spark, d):
 
 @query()
 def learned_ranker_oof(spark, d):
-    """L01-L08."""
+    """Three signals."""
     rows = _signals(spark, d).join(_truth(spark, d).withColumn("label", F.lit(1)), ["paper_id", "reviewer_id"], "left").na.fill(0, ["label"])
     out = L.out_of_fold(L.dataset(rows, ["semantic", "kg", "profile"]), ["semantic", "kg", "profile"], iterations=5)
     return out.select("paper_id", "reviewer_id", "label", "fold", F.round("prediction_score", 6).alias("score"))
