@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from .keyterms import normal_forms
 
 
 def term_counts(docs: DataFrame, tokens: Column) -> DataFrame:
@@ -47,7 +48,7 @@ def keyphrases(docs: DataFrame, k: int) -> DataFrame:
     words = words.where((F.length("w") > 3) & ~F.col("w").isin(*T.STOPWORDS))
     # counted as they stand first: a word is normalised once a document
     once = words.groupBy("id", "w").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    clean = once.select("id", "n", "first", T.normal_word(F.col("w")).alias("term")).where((F.length("term") > 3) & ~F.col("term").isin(*T.GENERIC))
+    clean = once.select("id", "n", "first", F.element_at(normal_forms(F.array("w"), T.SYNONYMS), 1).alias("term")).where((F.length("term") > 3) & ~F.col("term").isin(*T.GENERIC))
     top = clean.groupBy("id", "term").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     order = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("n"), "first", "term"))
     return top.withColumn("rank", order).where(F.col("rank") <= k)
