@@ -1,3 +1,3 @@
 """The registered queries over the driver's tables, by subject; importing this registers them all."""
 
-from . import catalog, graphs, panels, profiles, reports, reviewers, terms  # noqa: F401
+from . import catalog, comparisons, graphs, panels, profiles, reports, reviewers, terms  # noqa: F401

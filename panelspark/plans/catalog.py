@@ -483,7 +483,8 @@ def assign_greedy_capacity(spark, d):
 def learned_ranker_oof(spark, d):
     """Three signals."""
     rows = _signals(spark, d).join(_truth(spark, d).withColumn("label", F.lit(1)), ["paper_id", "reviewer_id"], "left").na.fill(0, ["label"])
-    out = L.out_of_fold(L.dataset(rows, ["semantic", "kg", "profile"]), ["semantic", "kg", "profile"], iterations=5)
+    signals = ["semantic", "kg", "profile"]
+    out = L.out_of_fold(L.dataset(rows, signals), [*signals, *[f"rr_{s}" for s in signals]], iterations=5)
     return out.select("paper_id", "reviewer_id", "label", "fold", F.round("prediction_score", 6).alias("score"))
 
 
