@@ -2,18 +2,25 @@
 
 The base finds e-mail addresses, IPv4 addresses, card numbers and phone numbers; their
 distinct values are the protected entities, and so are the groups they belong to (an
-e-mail address's domain, the first three parts of an address, the first six digits of a
-card, the first four of a phone number): most values occur once, their groups don't. A
+e-mail address's domain, the first three parts of an address, a card or phone number
+without its last three digits): most values occur once, their groups don't. A
 term (a word of ``TERM_LENGTH`` letters or more) discloses an entity by the share of the
 entity's information that it gives away: ``PMI(term, entity) / IC(entity)``, with
 ``PMI = log(n(t,e) N / (n(t) n(e)))`` and ``IC = log(N / n(e))`` over the different
 segments of the whole corpus. A segment is a line, or each ``SEGMENT`` words of a longer
-one, so that what meets in one is bounded. A term met with an entity in ``SUPPORT``
-different segments or more (once may be chance) whose share reaches ``GENERALISE`` is a span of kind ``term``, wherever it occurs: it is
-generalised to ``[TERM]`` or, from ``REMOVE`` on, removed. Base spans become ``[KIND]``.
+one, so that what meets in one is bounded. Words inside base patterns count nowhere.
+
+A term whose share reaches ``GENERALISE`` is told of only if chance is ruled out. Its
+first meeting with the entity is what made the pair a candidate; the further ones are
+held against a Poisson law of mean ``(n(t) - 1) n(e) / N``. Over all pairs that meet at
+all, less than ``CHANCE`` pairs may be expected to do so as often. One meeting (less than
+``SUPPORT``) has no further one and never passes. Such a term is a span of kind ``term``,
+wherever it occurs: it is generalised to ``[TERM]`` or, from ``REMOVE`` on, removed. Base
+spans become ``[KIND]``.
 
 Offsets are code points, ends exclusive. Matches that fail a check (part over 255, Luhn,
-number of digits) are dropped. Nulls: a null text counts as empty. Rows may repeat.
+number of digits) are dropped. Nulls: a null text counts as empty. Rows may repeat: equal segments count once. An empty
+table has no terms and gives no rows. Ties don't arise: every term is judged by itself.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ PATTERNS = {
 }
 #: What a text needs for a match of the kind: cheap to look for.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-TERM_LENGTH, SUPPORT, GENERALISE, REMOVE = 4, 2, 0.8, 0.95
+TERM_LENGTH, SUPPORT, GENERALISE, REMOVE, CHANCE = 4, 2, 0.8, 0.95, 0.05
 SEGMENT = 64
 SEGMENTS = r"(?:\S++[^\S\n]*+){1,%d}+" % SEGMENT
 TERM = r"\p{L}{%d,}+" % TERM_LENGTH
@@ -84,21 +91,42 @@ def base_spans(text: Column) -> Column:
 def _group(kind: Column, hit: Column) -> Column:
     """What an entity has in common with others of its kind."""
     digits = _digits(hit)
-    return F.when(kind == 0, F.lower(F.substring_index(hit, "@", -1))).when(kind == 1, F.substring_index(hit, ".", 3)).when(kind == 2, F.substring(digits, 1, 6)).otherwise(F.substring(digits, 1, 4))
+    block = F.substring(digits, F.lit(1), F.length(digits) - 3)
+    return F.when(kind == 0, F.lower(F.substring_index(hit, "@", -1))).when(kind == 1, F.substring_index(hit, ".", 3)).otherwise(block)
+
+
+def by_chance(meetings: Column, nt: Column, ne: Column, total: Column, pairs: Column) -> Column:
+    """A bound on the expected number of pairs that meet so often by chance: ``pairs`` times the Poisson tail of the meetings after the first.
+
+    The tail is at most its first term over ``1 - mean / meetings``; 1 or more where they don't pass the mean.
+    """
+    k, mean = (meetings - 1).cast("double"), (nt - 1) * ne / total
+    # below 20 the factorial itself, above it less than that
+    log_factorial = F.coalesce(F.log(F.factorial((meetings - 1).cast("int"))), k * F.log(k) - k)
+    first = F.exp(F.log(pairs) + k * F.log(mean) - mean - log_factorial)
+    return F.when(mean <= 0, F.lit(0.0)).when(k <= mean, pairs).otherwise(first / (1 - mean / (k + 1)))
+
+
+def _unmasked(line: Column) -> Column:
+    """A segment without what looks like a base pattern."""
+    masked = line
+    for p in PATTERNS.values():
+        masked = F.regexp_replace(masked, F.lit(p), F.lit(" "))
+    return F.when(F.rlike(line, F.lit(r"[0-9@]")), masked).otherwise(line)
 
 
 def terms(docs: DataFrame) -> DataFrame:
     """``(term, removed boolean)``: the terms of the corpus that disclose an entity, and whether they go altogether."""
     line = docs.select(F.explode(F.regexp_extract_all("text", F.lit(SEGMENTS), F.lit(0))).alias("line"))
     words = lambda c: F.array_distinct(F.transform(F.regexp_extract_all(c, F.lit(TERM), F.lit(0)), F.lower))
-    masked = F.col("line")
-    for p in PATTERNS.values():
-        masked = F.regexp_replace(masked, F.lit(p), F.lit(" "))
+    text = _unmasked(F.col("line"))
     found = line.where(F.rlike("line", F.lit(r"[0-9@]"))).withColumn("spans", base_spans(F.col("line"))).where(F.size("spans") > 0)
-    seen = found.select(F.xxhash64("line").alias("line"), words(masked).alias("terms"), F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.array(F.xxhash64(x["kind"], x["hit"]), F.xxhash64(x["kind"] - 10, _group(x["kind"], x["hit"]))))))).alias("entity"))
+    seen = found.select(F.xxhash64("line").alias("line"), words(text).alias("terms"), F.explode(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.array(F.xxhash64(x["kind"], x["hit"]), F.xxhash64(x["kind"] - 10, _group(x["kind"], x["hit"]))))))).alias("entity"))
     seen = written(seen.distinct())
     total = F.lit(float(max(line.select(F.xxhash64("line").alias("line")).distinct().count(), 2)))
-    both = seen.select("entity", "line", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
+    meetings = seen.select("entity", F.explode("terms").alias("term"))
+    pairs = meetings.agg(F.approx_count_distinct(F.xxhash64("entity", "term"), 0.02)).first()[0]  # one number
+    both = meetings.groupBy("entity", "term").agg(F.count("*").alias("both")).where(F.col("both") >= SUPPORT)
     entity = seen.groupBy("entity").agg(F.count("*").alias("ne"))
     # exact bound: a term in more lines than this cannot reach the threshold, and those beside entities are known
     most = F.col("both") * F.pow(total / F.col("ne"), F.lit(1 - GENERALISE)) + 1
@@ -109,10 +137,11 @@ def terms(docs: DataFrame) -> DataFrame:
         return none
     names = written(both.select("term").distinct())
     bits = member_bits(names, "term")
-    met = line.select(F.xxhash64("line").alias("line"), F.explode(words(F.col("line"))).alias("term")).where(may_contain(bits, F.col("term"))).join(names, "term").distinct()
+    met = line.select(F.xxhash64("line").alias("line"), F.explode(words(text)).alias("term")).where(may_contain(bits, F.col("term"))).join(names, "term").distinct()
     nt = met.groupBy("term").agg(F.count("*").alias("nt"))
     share = F.log(F.col("both") * total / (F.col("nt") * F.col("ne"))) / F.greatest(F.log(total / F.col("ne")), F.lit(1e-9))
-    told = both.join(nt, "term").groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE)
+    rare = by_chance(F.col("both"), F.col("nt"), F.col("ne"), total, F.lit(float(max(pairs, 1)))) < CHANCE
+    told = both.join(nt, "term").where(rare).groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE)
     return written(told.select("term", (F.col("share") >= REMOVE).alias("removed")))
 
 

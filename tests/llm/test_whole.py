@@ -1,5 +1,6 @@
 """What the operators must not leave out: links in large mixed buckets, rows that share an id, whole passages, near lines."""
 
+import math
 import random
 from itertools import combinations
 
@@ -198,3 +199,32 @@ def test_pieces_keep_their_own_space_sign(spark):
     rows = [(1, "a▁b"), (2, "▁"), (3, " ▁ x"), (4, "▁▁ ▁")]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {r.doc_id: r.text for r in pieces.decode(pieces.encode(frame)).collect()} == dict(rows)
+
+
+def test_a_shared_prefix_or_two_chance_meetings_disclose_nothing(spark):
+    draw = random.Random(8)
+    words = [f"{draw.choice('bdfgklmnprst')}{''.join(draw.choice('aeioubdgklmnrst') for _ in range(draw.randrange(4, 8)))}" for _ in range(400)] + ["wrote", "from", "once", "heute", "unser", "wegen"]
+    plain = lambda i: " ".join(draw.choice(words) for _ in range(9)) + f" {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}"
+    rows = [(i, plain(i)) for i in range(2000)]
+    rows += [(3000, "Ruf +49 30 5551234 wegen fruchtsaft an"), (3001, "Unser fruchtsaft, Tel. +49 30 8884321 heute")]
+    rows += [(3100 + i, f"{plain(i)} {chr(97 + i % 26) * 3}@post.example.org {chr(97 + i // 26)}") for i in range(200)]
+    rows += [(3400 + i, f"gooseberry {plain(i)} {chr(97 + i) * 4}@post.example.org") for i in range(2)]
+    rows += [(3500 + i, f"Hollingworth {plain(i)} wrote from hw@far.example.net {chr(97 + i) * 4}") for i in range(5)]
+    rows += [(3600, "Marchbanks once wrote from mb@once.example.net")]
+    told = {r.term for r in pii.terms(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert told == {"hollingworth"}
+
+
+def test_the_chance_bound_holds_the_poisson_tail(spark):
+    cases = [(k, nt, ne) for k in (2, 3, 5, 20, 30) for nt in (k, k + 3, 40) for ne in (k, 50, 400)]
+    frame = spark.createDataFrame(cases, "k long, nt long, ne long")
+    from pyspark.sql import functions as F
+
+    got = frame.select("*", pii.by_chance(F.col("k"), F.col("nt"), F.col("ne"), F.lit(1000.0), F.lit(1.0)).alias("b")).collect()
+    for r in got:
+        mean = (r.nt - 1) * r.ne / 1000
+        below = sum(math.exp(-mean + i * math.log(mean) - math.lgamma(i + 1)) for i in range(r.k - 1))
+        tail = max(0.0, 1 - below)
+        assert r.b >= tail - 1e-12, r
+        if r.k < 20 and r.k - 1 > 2 * mean and tail > 1e-9:
+            assert r.b <= 2.5 * tail, r
