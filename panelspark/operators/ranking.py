@@ -172,7 +172,56 @@ def greedy_assignment(rankings: DataFrame, capacities: DataFrame, n: int = 3) ->
                 out.append((paper, slot, r, -v))
         return pd.DataFrame(out, columns=["paper_id", "slot", "reviewer_id", "value"])
 
-    return rows.coalesce(1).sortWithinPartitions("paper_id", F.col("score").desc(), "reviewer_id").mapInPandas(fold, "paper_id long, slot int, reviewer_id long, value double")
+    return rows.repartition(1).sortWithinPartitions("paper_id", F.col("score").desc(), "reviewer_id").mapInPandas(fold, "paper_id long, slot int, reviewer_id long, value double")
+
+
+def _papers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each paper of a stream sorted by paper; no more than a batch and a paper are held."""
+    rest = None
+    for b in batches:
+        b = b if rest is None else pd.concat([rest, b])
+        rest = b[b.paper_id == b.paper_id.iloc[-1]]
+        for _, g in b[b.paper_id != b.paper_id.iloc[-1]].groupby("paper_id", sort=False):
+            yield g
+    if rest is not None and len(rest):
+        yield rest
+
+
+def penalised_assignment(rankings: DataFrame, capacities: DataFrame, n: int = 3, step: float = 0.02, redundancy: float = Params.redundancy, exclude_full: bool = True) -> DataFrame:
+    """Papers in order; a candidate's score falls by ``step * load * (1 + load / capacity)``, and a candidate too like one taken before it is passed over.
+
+    ``rankings``: paper_id, reviewer_id, score, terms array<string>; likeness is the overlap
+    coefficient of the terms. Where fewer than ``n`` remain unlike each other, likeness
+    doesn't count; where all are full, the paper takes its first ``n`` at their plain scores.
+    The panel is the best ``n``, without P01's roles. Ties go to the smaller id; null terms
+    are like nothing; candidates without a capacity or score don't take part. As in
+    ``greedy_assignment`` the order is the meaning: joins and ranking run in parallel, then
+    one task streams the papers and keeps the loads of the reviewers only.
+    """
+    known = rankings.where("score is not null").join(capacities.where("capacity > 0"), "reviewer_id")
+    rows = known.select("paper_id", "reviewer_id", "score", "capacity", F.coalesce("terms", F.array().cast("array<string>")).alias("terms"))
+
+    def unlike(terms: set, taken: list[set]) -> bool:
+        return all(len(terms & t) / max(1, min(len(terms), len(t))) < redundancy for t in taken)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        load: dict = {}
+        for g in _papers(batches):
+            plain = list(zip(g.score, g.reviewer_id, g.capacity, map(set, g.terms), strict=True))
+            used = [(s - step * load.get(r, 0) * (1 + load.get(r, 0) / c), r, t) for s, r, c, t in plain if load.get(r, 0) < c or not exclude_full]
+            ranked = sorted(used or [(s, r, t) for s, r, _, t in plain][:n], key=lambda x: (-round(x[0], 9), x[1]))
+            apart: list = []
+            for s, r, t in ranked:
+                if len(apart) < n and unlike(t, [x[2] for x in apart]):
+                    apart.append((s, r, t))
+            panel = apart if len(apart) == n else ranked[:n]
+            for _, r, _ in panel:
+                load[r] = load.get(r, 0) + 1
+            taken = [(g.paper_id.iloc[0], i, r, s, load[r]) for i, (s, r, _) in enumerate(panel, 1)]
+            yield pd.DataFrame(taken, columns=["paper_id", "slot", "reviewer_id", "value", "load"])
+
+    schema = "paper_id long, slot int, reviewer_id long, value double, load long"
+    return rows.repartition(1).sortWithinPartitions("paper_id", F.col("score").desc(), "reviewer_id").mapInPandas(fold, schema)
 
 
 def auction(rankings: DataFrame, capacities: DataFrame, n: int = 3, rounds: int = 10) -> DataFrame:

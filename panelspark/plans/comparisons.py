@@ -11,6 +11,7 @@ from ..operators import evaluate as E
 from ..operators import keyterms as K
 from ..operators import knowledge as G
 from ..operators import learned as L
+from ..operators import ranking as R
 from ..operators import textoverlap as O
 from .catalog import SIGNALS, _conflicts, _signals, _truth, query, table
 from .terms import TERMS, _concepts, _quoted, _texts
@@ -227,6 +228,17 @@ def hard_cases(spark, d):
     return C.hard_cases(rows, "profile", "label").withColumn("score", F.round("score", 6))
 
 
+@query()
+def penalised_assignment(spark, d):
+    """Panels of all papers in order, by scores that fall with the load; the order is the meaning, so a test compares it with a plain fold."""
+    rows = _candidates(spark, d)
+    part = lambda name, x: F.concat(F.lit(name), x.cast("string"))
+    terms = F.array(part("a", F.col("reviewer_id") % 5), part("b", F.col("reviewer_id") % 3), part("c", F.col("reviewer_id") % 2))
+    caps = table(spark, d, "embeddings").select(F.col("vec_id").alias("reviewer_id"), (F.col("vec_id") % 3 + 1).alias("capacity"))
+    out = R.penalised_assignment(rows.select("paper_id", "reviewer_id", F.col("final").alias("score"), terms.alias("terms")), caps)
+    return out.withColumn("value", F.round("value", 6))
+
+
 # ---- the learned ranker on seven features
 
 

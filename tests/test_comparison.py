@@ -168,3 +168,37 @@ def test_importance_names_the_telling_feature(spark):
     assert sum(r.share for (k, _), r in got.items() if k == "group") == pytest.approx(1.0)
     flat = L.importance(table.withColumn("label", F.lit(0)), ["semantic", "keyword"], L.GROUPS).collect()
     assert all(r.share == 0.0 for r in flat)
+
+
+def test_penalised_assignment_equals_a_plain_fold(spark):
+    from panelspark.operators import ranking as R
+
+    draw = random.Random(11)
+    terms = {r: draw.sample("abcdef", draw.randrange(0, 5)) for r in range(14)}
+    capacity = {r: draw.randrange(0, 5) for r in range(14)}
+    rows = [(p, r, round(draw.random(), 2) if draw.random() > 0.05 else None) for p in range(40) for r in draw.sample(range(14), draw.randrange(1, 9))]
+    table = spark.createDataFrame([(p, r, s, terms[r] or None) for p, r, s in rows], "paper_id long, reviewer_id long, score double, terms array<string>")
+    caps = spark.createDataFrame(list(capacity.items()), "reviewer_id long, capacity long")
+    got = {}
+    for x in R.penalised_assignment(table.repartition(5), caps, redundancy=0.6).orderBy("paper_id", "slot").collect():
+        got.setdefault(x.paper_id, []).append((x.reviewer_id, round(x.value, 9), x.load))
+
+    load, want, passed, full = dict.fromkeys(range(14), 0), {}, 0, 0
+    for p in range(40):
+        mine = sorted([(-s, r) for q, r, s in rows if q == p and s is not None and capacity[r] > 0])
+        if not mine:
+            continue
+        free = [(-s - 0.02 * load[r] * (1 + load[r] / capacity[r]), r) for s, r in mine if load[r] < capacity[r]]
+        full += not free
+        order = sorted(free or [(-s, r) for s, r in mine[:3]], key=lambda x: (-round(x[0], 9), x[1]))
+        kept = []
+        for s, r in order:
+            like = [len(set(terms[r]) & set(terms[k])) / max(1, min(len(terms[r]), len(terms[k]))) for _, k in kept]
+            if max(like, default=0) < 0.6 and len(kept) < 3:
+                kept.append((s, r))
+        passed += len(kept) == 3 and kept != order[:3]
+        panel = kept if len(kept) == 3 else order[:3]
+        for _, r in panel:
+            load[r] += 1
+        want[p] = [(r, round(s, 9), load[r]) for s, r in panel]
+    assert got == want and passed and full
