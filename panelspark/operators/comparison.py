@@ -97,10 +97,13 @@ def baselines(rows: DataFrame, lexical: DataFrame, seed: int = 42, depth: int =
     return rows.select("paper_id", "reviewer_id", each.alias("x")).select("x.mode", "paper_id", "reviewer_id", "x.rank").where(F.col("rank") <= depth)
 
 
-def list_quality(rankings: DataFrame, truth: DataFrame, k: int = 3) -> DataFrame:
-    """R16 for each mode and paper: precision by the list's own size, recall, reciprocal rank and NDCG of the first ``k``; all null without truth."""
+def list_quality(rankings: DataFrame, truth: DataFrame, k: int = 3, sizes: DataFrame | None = None) -> DataFrame:
+    """R16 for each mode and paper: precision by the list's own size, recall, reciprocal rank and NDCG of the first ``k``; all null without truth.
+
+    With ``sizes(paper_id, n_truth)`` the truth needs no pairs but those that are ranked.
+    """
     marks = truth.select("paper_id", "reviewer_id").distinct().withColumn("hit", F.lit(1))
-    known = marks.groupBy("paper_id").agg(F.count("*").alias("m"))
+    known = marks.groupBy("paper_id").agg(F.count("*").alias("m")) if sizes is None else sizes.withColumnRenamed("n_truth", "m")
     rows = rankings.where(F.col("rank") <= k).join(marks, ["paper_id", "reviewer_id"], "left")
     hit = F.col("hit").isNotNull()
     each = rows.groupBy("mode", "paper_id").agg(
