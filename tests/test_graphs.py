@@ -155,3 +155,17 @@ def test_workload_by_precedence(spark):
     load = lambda rows: {r.reviewer_id: r.load for r in rows.collect()}
     assert load(H.merged_workload(ids, saved, live)) == {"a": 3, "b": 1}
     assert load(H.merged_workload(ids.limit(0), saved, live)) == {"a": 51, "z": 9, "c": 1}
+
+
+def test_a_class_of_publications_is_paired_within_papers_only(spark):
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    none = frame([], "reviewer_id long, topic string")
+    args = {
+        "candidates": frame([(1, 7), (1, 8), (2, 8), (3, 9)], "paper_id long, reviewer_id long"), "papers": frame([], "paper_id long, topic string"), "reviewers": none, "works": none,
+        "venues": frame([], "reviewer_id long, venue string"), "publications": frame([(7, 2, None), (7, 10, None), (8, 10, None), (8, 5, None), (9, 4, None)], "reviewer_id long, pub long, venue string"),
+        "publication_topics": frame([], "pub long, topic string"), "vectors": frame([("p_3", [1.0, 0.0]), ("pub_4", [1.0, 0.1])], "node string, v array<double>"),
+    }
+    classes = frame([(2, "x"), (10, "x"), (4, "x"), (5, "y")], "pub long, class string")
+    pairs = frame([(2, 10, 1.0), (2, 4, 1.0), (4, 10, 1.0)], "a long, b long, weight double")
+    got = [sorted(map(tuple, G.candidate_graph(**args, **how).where("type = 'similar_paper'").collect())) for how in ({"classes": classes}, {"similar": pairs})]
+    assert got[0] == got[1] and [r[:3] for r in got[0]] == [(1, "pub_2", "pub_10"), (3, "p_3", "pub_4")]
