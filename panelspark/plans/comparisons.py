@@ -95,12 +95,19 @@ bl AS (SELECT * FROM (UNPIVOT bp ON semantic, bm25, random, authority INTO NAME
 """
 
 
-def _text_counts(spark, d):
-    return G.term_counts(_texts(spark, d, "documents", "doc_id"), T.tokens(F.col("text"), "[a-z0-9]+", distinct=False))
+def _texts_of(spark, d, rows):
+    """The texts of the papers and reviewers of ``rows``; others are never cut into words."""
+    ids = rows.select(F.col("paper_id").alias("id")).union(rows.select("reviewer_id")).distinct()
+    return _texts(spark, d, "documents", "doc_id").join(ids, "id", "left_semi")
+
+
+def _text_counts(spark, d, rows):
+    return G.term_counts(_texts_of(spark, d, rows), T.tokens(F.col("text"), "[a-z0-9]+", distinct=False))
 
 
 def _baselines(spark, d):
-    rows, counts = _signals(spark, d).select("paper_id", "reviewer_id", "semantic"), _text_counts(spark, d)
+    rows = _signals(spark, d).select("paper_id", "reviewer_id", "semantic")
+    counts = _text_counts(spark, d, rows)
     people = table(spark, d, "documents").select(F.col("doc_id").alias("reviewer_id"), F.floor(F.col("n_chars") / 500).cast("double").alias("h"), F.col("n_chars").cast("double").alias("citations"))
     return C.baselines(rows.join(people, "reviewer_id", "left"), C.listwise_bm25(rows, counts, counts))
 
@@ -133,8 +140,9 @@ gx AS (SELECT g.paper_id, g.reviewer_id, semantic, coalesce(dp / sqrt(({_IDF} *
 
 
 def _pair_tfidf(spark, d):
-    grams = O.gram_counts(_texts(spark, d, "documents", "doc_id")).persist()  # read by both sides of the pairs
-    return O.pair_tfidf(_signals(spark, d), grams, grams)
+    rows = _signals(spark, d)
+    grams = O.gram_counts(_texts_of(spark, d, rows)).persist()  # read by both sides of the pairs
+    return O.pair_tfidf(rows, grams, grams)
 
 
 @query(SIGNALS + GRAMS + "SELECT paper_id, reviewer_id, round(cosine, 6) tfidf, round(CASE WHEN reviewer_id % 2 = 0 THEN semantic ELSE cosine END, 6) semantic FROM gx")
@@ -157,7 +165,7 @@ def pair_terms(spark, d):
 SELECT paper_id, reviewer_id, array_to_string(list_sort(list_intersect(a.w, b.w))[1:3], '|') words FROM g JOIN lw a ON a.id = paper_id JOIN lw b ON b.id = reviewer_id""")
 def shared_words(spark, d):
     """M26."""
-    words = O.long_words(_texts(spark, d, "documents", "doc_id"))
+    words = O.long_words(_texts_of(spark, d, _signals(spark, d)))
     side = lambda key, name: words.select(F.col("id").alias(key), F.col("words").alias(name))
     rows = _signals(spark, d).join(side("paper_id", "p"), "paper_id").join(side("reviewer_id", "r"), "reviewer_id")
     return rows.select("paper_id", "reviewer_id", F.array_join(O.shared_words(F.col("p"), F.col("r")), "|").alias("words"))
@@ -173,7 +181,7 @@ SELECT paper_id, reviewer_id, round(CASE WHEN n = 0 THEN 0 WHEN h > 0 THEN h::DO
 def topic_chain(spark, d):
     """Terms, else the prefetched similarity (even ids), else the embedding (every fourth id), else the words."""
     cosine, _ = _pair_tfidf(spark, d)
-    terms = K.keyword_sets(_texts(spark, d, "documents", "doc_id"), _concepts(spark, d)).groupBy("id").agg(F.collect_set("term").alias("k")).persist()
+    terms = K.keyword_sets(_texts_of(spark, d, _signals(spark, d)), _concepts(spark, d)).groupBy("id").agg(F.collect_set("term").alias("k")).persist()
     side = lambda key, name: terms.select(F.col("id").alias(key), F.col("k").alias(name))
     rows = _signals(spark, d).select("paper_id", "reviewer_id", "semantic").join(cosine.withColumnRenamed("cosine", "tfidf"), ["paper_id", "reviewer_id"])
     rows = rows.join(side("paper_id", "p"), "paper_id", "left").join(side("reviewer_id", "r"), "reviewer_id", "left")

@@ -58,3 +58,11 @@ def test_truth_makes_ranked_pairs_only_and_counts_the_rest(spark, tmp_path):
     size = labels.count(0) - 1
     assert got == {(0, 3): (1, size), (0, 4): (0, size), (150, 0): (1, size)}  # 50 has no label, 100 is alone with its own
     assert C._truth(spark, d, ranking).count() == 2
+
+
+def test_only_candidates_texts_are_cut_into_words(spark, tmp_path):
+    from panelspark.plans import comparisons as P
+
+    spark.createDataFrame([(i, f"word{i}") for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = spark.createDataFrame([(0, 3), (0, 4), (50, 3)], "paper_id long, reviewer_id long")
+    assert {r.id for r in P._text_counts(spark, str(tmp_path), rows).collect()} == {0, 3, 4}
