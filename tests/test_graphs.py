@@ -1,5 +1,6 @@
 """Walks, exact cosine pairs, the candidate graph, the cascade, ranks and nested histories on small cases."""
 
+import hashlib
 import json
 import math
 import random
@@ -169,3 +170,22 @@ def test_a_class_of_publications_is_paired_within_papers_only(spark):
     pairs = frame([(2, 10, 1.0), (2, 4, 1.0), (4, 10, 1.0)], "a long, b long, weight double")
     got = [sorted(map(tuple, G.candidate_graph(**args, **how).where("type = 'similar_paper'").collect())) for how in ({"classes": classes}, {"similar": pairs})]
     assert got[0] == got[1] and [r[:3] for r in got[0]] == [(1, "pub_2", "pub_10"), (3, "p_3", "pub_4")]
+
+
+def test_walks_take_each_step_once_and_find_the_way_of_the_step_table(spark, monkeypatch):
+    for name, size in (("RUN", 4), ("HUB", 20)):
+        monkeypatch.setattr(G, name, size)
+    edges = spark.createDataFrame([("hub", f"n{i}", 1.0 + i % 3) for i in range(60)] + [(f"n{i}", f"n{i + 1}", 0.5) for i in range(50)], "src string, dst string, weight double")
+    walks = G.random_walks(edges, 3, 4)
+    assert walks._jdf.queryExecution().optimizedPlan().toString().count("Join") == 4  # one a step, whatever is read of it
+    at = {(r.start, r.walk, r.step): r.node for r in walks.collect()}
+    assert len(at) == 61 * 3 * 5
+    ways = {}
+    for r in G.step_table(edges).collect():
+        ways.setdefault(r.node, {})[r.dst] = (r.lo, r.hi, r.total)
+    assert all(max(hi for _, hi, _ in w.values()) == pytest.approx(next(iter(w.values()))[2]) for w in ways.values())
+    for (start, walk, step), node in at.items():
+        if step:
+            lo, hi, total = ways[at[start, walk, step - 1]][node]
+            x = int(hashlib.md5(f"{start}:{walk}:{step}".encode()).hexdigest()[:12], 16) / (1 << 48) * total
+            assert lo <= x < hi
