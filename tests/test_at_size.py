@@ -66,3 +66,41 @@ def test_only_candidates_texts_are_cut_into_words(spark, tmp_path):
     spark.createDataFrame([(i, f"word{i}") for i in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     rows = spark.createDataFrame([(0, 3), (0, 4), (50, 3)], "paper_id long, reviewer_id long")
     assert {r.id for r in P._text_counts(spark, str(tmp_path), rows).collect()} == {0, 3, 4}
+
+
+@pytest.mark.parametrize("block, side", [(4096, 49152), (7, 20)])
+def test_similar_texts_equal_all_pairs_and_make_no_row_of_a_pair(spark, monkeypatch, block, side):
+    import re
+    from collections import Counter
+
+    from panelspark.operators import similar as N
+
+    monkeypatch.setattr(N, "BLOCK", block)
+    monkeypatch.setattr(N, "SIDE", side)
+    monkeypatch.setattr(N, "CELLS", 150)
+    monkeypatch.setattr(N, "SUMMED", 40)
+    rnd = random.Random(5)
+    base = [[f"word{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 14))] for _ in range(30)]
+    rows = [(i, " ".join([*(w for w in base[i % 30] if rnd.random() < 0.95), rnd.choice(["", "Template words", f"own{i}x"])])) for i in range(110)]
+    rows += [(200, None), (201, ""), (202, "a b"), (3, "more words here"), (3, None), (None, "word1 Template"), (None, "word2 template")]
+    found = {}
+    for i, text in rows:
+        found.setdefault(i, Counter()).update(re.findall("[a-z0-9]{4,}", (text or "").lower()))
+    found = {i: c for i, c in found.items() if c}
+    n, df = len([i for i in found if i is not None]), Counter(w for c in found.values() for w in c)
+    unit = {}
+    for i, c in found.items():
+        w = {t: k * (math.log((1 + n) / (1 + df[t])) + 1) for t, k in c.items()}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        unit[i] = {t: x / norm for t, x in w.items()}
+    want = {}
+    for a in unit:
+        for b in unit:
+            if a is not None and b is not None and a < b:
+                score = sum(x * unit[b].get(t, 0.0) for t, x in unit[a].items())
+                if round(score, 9) >= 0.8:
+                    want[a, b] = pytest.approx(score, abs=1e-9)
+    got = N.similar_texts(spark.createDataFrame(rows, "id long, text string").repartition(3), "[a-z0-9]{4,}", 0.8)
+    assert len(want) > 60 and {(r.a, r.b): r.score for r in got.collect()} == want
+    assert "Join" not in _plan(got).split("FlatMapGroupsInArrow")[0]
+    assert N.similar_texts(spark.createDataFrame([], "id long, text string"), "[a-z0-9]{4,}", 0.8).count() == 0
