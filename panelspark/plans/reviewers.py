@@ -74,9 +74,11 @@ fu AS (SELECT p, r, c, l, 0.82 * c + 0.18 * l s FROM po)
 SELECT p paper_id, r reviewer_id, round(c, 6) cosine, round(l, 6) lexical, round(s, 6) score, row_number() OVER (PARTITION BY p ORDER BY round(s, 9) DESC, r) rank FROM fu QUALIFY rank <= {RETRIEVED}""")
 def candidate_retrieval(spark, d):
     """The twenty best documents for every 50th one by vectors and words."""
-    docs = _texts(spark, d, "documents", "doc_id")
-    words = K.keyword_sets(docs, _concepts(spark, d)).groupBy("id").agg(F.collect_set("term").alias("keywords"))  # a text's terms
-    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v")).join(docs, F.col("id") == F.col("vec_id")).join(words, "id", "left")
-    rows = rows.select("vec_id", "v", P.lexical_tokens(F.col("text"), V.LEXICAL_STOP).alias("tokens"), F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords")).persist()
+    vectors = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    docs = _texts(spark, d, "documents", "doc_id").join(vectors.select(F.col("vec_id").alias("id")), "id", "left_semi")  # no other text is cut into words
+    number = lambda c: F.transform(c, lambda x: F.xxhash64(x))
+    words = K.keyword_sets(docs, _concepts(spark, d)).groupBy("id").agg(number(F.collect_set("term")).alias("keywords"))  # a text's terms
+    rows = vectors.join(docs, F.col("id") == F.col("vec_id")).join(words, "id", "left")
+    rows = rows.select("vec_id", "v", number(P.lexical_tokens(F.col("text"), V.LEXICAL_STOP)).alias("tokens"), F.coalesce("keywords", F.array().cast("array<bigint>")).alias("keywords")).persist()
     out = W.retrieve(rows.where(PAPERS).withColumnRenamed("vec_id", "paper_id"), rows.withColumnRenamed("vec_id", "reviewer_id"), RETRIEVED)
     return out.select("paper_id", "reviewer_id", *[F.round(c, 6).alias(c) for c in ("cosine", "lexical", "score")], "rank")

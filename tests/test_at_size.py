@@ -104,3 +104,26 @@ def test_similar_texts_equal_all_pairs_and_make_no_row_of_a_pair(spark, monkeypa
     assert len(want) > 60 and {(r.a, r.b): r.score for r in got.collect()} == want
     assert "Join" not in _plan(got).split("FlatMapGroupsInArrow")[0]
     assert N.similar_texts(spark.createDataFrame([], "id long, text string"), "[a-z0-9]{4,}", 0.8).count() == 0
+
+
+def test_lexical_top_k_in_blocks_equals_all_pairs(spark, monkeypatch):
+    for name, size in (("QUERY_BLOCK", 7), ("ITEM_BLOCK", 40)):
+        monkeypatch.setattr(R, name, size)
+    rnd = random.Random(9)
+    some = lambda n: rnd.sample(range(-9, 9), rnd.randrange(n))
+    rows = [(i, some(9), None if i % 17 == 0 else some(4)) for i in range(120)] + [(None, [1, 2], [1]), (500, [], [])]
+    items = spark.createDataFrame(rows, "reviewer_id long, tokens array<long>, keywords array<long>")
+    queries = items.withColumnRenamed("reviewer_id", "paper_id").where("paper_id % 5 = 0")
+    part = lambda a, b: len(set(a) & set(b)) / max(1, len(set(a) | set(b)))
+    wanted = {(p, r) for p in range(0, 120, 5) for r in rnd.sample(range(120), 6) if p != r} | {(500, 1)}
+    want = {}
+    for p, t, w in rows:
+        if p is not None and p % 5 == 0:
+            scores = {r: 0.45 * part(t, u) + 0.55 * part(w or (), x or ()) for r, u, x in rows if r is not None and r != p}
+            best = sorted((r for r in scores if scores[r] > 0), key=lambda r: (-round(scores[r], 9), r))[:10]
+            for r in scores:
+                if r in best or (p, r) in wanted:
+                    want[p, r] = (pytest.approx(scores[r]), best.index(r) + 1 if r in best else None, (p, r) in wanted)
+    found = R.lexical_top_k(queries, items, 10, spark.createDataFrame(sorted(wanted), "paper_id long, reviewer_id long"))
+    assert {(r.paper_id, r.reviewer_id): (r.lexical, r.n, r.wanted) for r in found.collect()} == want
+    assert "explode(tokens" not in _plan(found) and "explode(keywords" not in _plan(found)
