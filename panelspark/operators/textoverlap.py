@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import scores as S
 from ..functions import text as T
@@ -29,26 +30,48 @@ def pair_tfidf(pairs: DataFrame, papers: DataFrame, reviewers: DataFrame, top: i
 
     A fit on two texts gives a shared term the weight tf and any other tf times ``ALONE``, so
     both norms follow from a text's own sum of squares and the shared terms: no vocabulary
-    is fitted, and only shared terms of candidate pairs meet. Pairs without a shared term
-    have the cosine 0. Ties of terms go by name.
+    is fitted. A reviewer's terms travel to each of its papers as one row of 64-bit hashes,
+    and a paper's pairs are compared in one group: no term of a pair is a row. Pairs without
+    a shared term have the cosine 0. Ties of terms go by name.
     """
-    a2 = ALONE * ALONE
-    square = lambda c, key: c.groupBy(F.col("id").alias(key)).agg(F.sum(F.col("tf") * F.col("tf")).alias(f"sq_{key}"))
     pairs = pairs.select("paper_id", "reviewer_id").distinct()
-    left = pairs.join(papers.select(F.col("id").alias("paper_id"), "term", F.col("tf").alias("p")), "paper_id")
-    right = reviewers.select(F.col("id").alias("reviewer_id"), "term", F.col("tf").alias("r"))
-    terms = left.join(right, ["reviewer_id", "term"], "left")
-    shared = terms.where("r is not null").groupBy("paper_id", "reviewer_id").agg(
-        F.sum(F.col("p") * F.col("r")).alias("dot"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum(F.col("r") * F.col("r")).alias("rr")
-    )
-    rows = pairs.join(square(papers, "paper_id"), "paper_id", "left").join(square(reviewers, "reviewer_id"), "reviewer_id", "left")
-    rows = rows.join(shared, ["paper_id", "reviewer_id"], "left")
-    norm = lambda sq, own: F.sqrt(a2 * F.col(sq) - (a2 - 1) * F.col(own))
-    cosine = F.coalesce(F.col("dot") / (norm("sq_paper_id", "pp") * norm("sq_reviewer_id", "rr")), F.lit(0.0))
-    weight = F.col("p") * F.when(F.col("r").isNull(), ALONE).otherwise(1.0)
-    place = F.row_number().over(Window.partitionBy("paper_id", "reviewer_id").orderBy(F.round("weight", 9).desc(), "term"))
-    best = terms.withColumn("weight", weight).withColumn("place", place).where(F.col("place") <= top)
-    return rows.select("paper_id", "reviewer_id", cosine.alias("cosine")), best.select("paper_id", "reviewer_id", "term", "weight", "place")
+    number = F.transform("x", lambda x: F.xxhash64(x["term"])).alias("h")
+    gathered = lambda counts: counts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("x")).select("id", number, F.transform("x", lambda x: x["tf"]).alias("tf"), "x")
+    asked = pairs.join(gathered(reviewers).select(F.col("id").alias("reviewer_id"), F.col("h").alias("h"), F.col("tf").alias("tf")), "reviewer_id", "left")
+    own = gathered(papers).select(F.col("id").alias("paper"), "h", "tf", F.transform("x", lambda x: x["term"]).alias("terms"))
+    kinds = [pairs.schema[c].dataType.simpleString() for c in ("paper_id", "reviewer_id")]
+    kind = f"paper_id {kinds[0]}, reviewer_id {kinds[1]}, cosine double, best array<struct<term:string,weight:double,place:int>>"
+    both = asked.groupBy("paper_id").cogroup(own.groupBy("paper")).applyInArrow(lambda a, b: _met(a, b, top), kind).persist()  # a row a pair
+    best = both.select("paper_id", "reviewer_id", F.inline("best"))
+    return both.select("paper_id", "reviewer_id", "cosine"), best
+
+
+def _met(asked: pa.Table, own: pa.Table, top: int) -> pa.Table:
+    """A paper's pairs: their cosines and best terms. The paper's terms are in order, so equal weights go by name."""
+    n = asked.num_rows
+    cosine, best = np.zeros(n), [[] for _ in range(n)]
+    if n and own.num_rows:
+        terms = own["terms"][0].as_py()
+        h, p = (np.array(own[c][0].as_py(), np.int64) for c in ("h", "tf"))
+        order = np.argsort(h)
+        for i, (theirs, tf) in enumerate(zip(asked["h"], asked["tf"], strict=True)):
+            r = np.zeros(len(h), np.int64)
+            square = 0
+            if theirs.is_valid:
+                hr, tr = theirs.values.to_numpy(), tf.values.to_numpy().astype(np.int64)
+                at = np.minimum(np.searchsorted(h[order], hr), len(h) - 1)
+                there = h[order][at] == hr
+                r[order[at[there]]] = tr[there]
+                square = int((tr * tr).sum())
+            weight = p * np.where(r > 0, 1.0, ALONE)
+            first = np.argsort(-np.round(weight, 9), kind="stable")[:top]
+            best[i] = [{"term": terms[j], "weight": float(weight[j]), "place": k + 1} for k, j in enumerate(first)]
+            if r.any():
+                shared = r > 0
+                norm = lambda sq, x: math.sqrt(ALONE * ALONE * sq - (ALONE * ALONE - 1) * int((x[shared] ** 2).sum()))
+                cosine[i] = int((p * r).sum()) / (norm(int((p * p).sum()), p) * norm(square, r))
+    kind = pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64()), ("place", pa.int32())]))
+    return pa.table([asked["paper_id"], asked["reviewer_id"], pa.array(cosine), pa.array(best, kind)], ["paper_id", "reviewer_id", "cosine", "best"])
 
 
 def long_words(docs: DataFrame, longer: int = 4) -> DataFrame:

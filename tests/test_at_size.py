@@ -127,3 +127,17 @@ def test_lexical_top_k_in_blocks_equals_all_pairs(spark, monkeypatch):
     found = R.lexical_top_k(queries, items, 10, spark.createDataFrame(sorted(wanted), "paper_id long, reviewer_id long"))
     assert {(r.paper_id, r.reviewer_id): (r.lexical, r.n, r.wanted) for r in found.collect()} == want
     assert "explode(tokens" not in _plan(found) and "explode(keywords" not in _plan(found)
+
+
+def test_pair_tfidf_makes_no_row_of_a_pairs_term(spark):
+    from panelspark.operators import textoverlap as O
+
+    docs = spark.createDataFrame([(i, f"graph model word{i % 3} graph other{i}") for i in range(6)] + [(6, None)], "id long, text string")
+    grams = O.gram_counts(docs).persist()
+    pairs = spark.createDataFrame([(p, r) for p in range(7) for r in range(8) if p != r], "paper_id long, reviewer_id long")
+    cosine, best = O.pair_tfidf(pairs, grams, grams)
+    joins = [line for line in _plan(cosine).splitlines() if " Join" in line]
+    assert not any("term" in line for line in joins)
+    rows = {(r.paper_id, r.reviewer_id): r.cosine for r in cosine.collect()}
+    assert len(rows) == 49 and rows[0, 3] > rows[0, 1] > 0 == rows[6, 0] == rows[0, 6] == rows[0, 7]
+    assert {r.paper_id for r in best.collect()} == set(range(6))
