@@ -3,6 +3,7 @@
 import math
 import random
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +117,42 @@ def test_sizes_and_parities_rule_out_no_alike_pair(spark):
     assert alike and alike <= kept and len(kept) < len(pairs) / 2
 
 
+def test_signatures_are_made_where_the_lines_lie(spark):
+    """No shuffle between the lines, dealt by id, and their signatures; what only the linking needed leaves the disks."""
+    docs = spark.createDataFrame([(i, f"line {i % 7} of a text\nanother line {i}") for i in range(40)], "doc_id long, text string")
+    folder = Path(common.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.glob("table-*"))
+    assert lines.removals(docs).count()
+    names = [spark.read.parquet(str(p)).columns for p in set(folder.glob("table-*")) - before]
+    assert names and not any({"line", "keys"} & set(c) for c in names)
+    rows = lines.lines(docs).groupBy("id").agg(F.min("line").alias("line"))
+    signed = lines.signed(common.bucketed(rows, "id"))
+    assert "Exchange" not in signed._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+    assert {tuple(r) for r in signed.select("id", "n").collect()} == {tuple(r) for r in lines.signed(rows).select("id", "n").collect()}
+
+
+@pytest.mark.parametrize("throughout", [4, 1024])
+def test_a_mixed_bucket_with_bounds_equals_all_pairs(spark, monkeypatch, throughout):
+    """Both ways of comparing a mixed bucket, in a list of two frames of keys, one of them with each member alone."""
+    monkeypatch.setattr(common, "THROUGHOUT", throughout)
+    monkeypatch.setattr(common, "SMALL", 4)
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(90)) for _ in range(8)]
+    texts = set()
+    for _ in range(120):
+        t = list(rng.choice(base))
+        for _ in range(rng.choice([1, 2, 3, 6])):
+            t[rng.randrange(90)] = rng.choice("xyz")
+        texts.add("".join(t))
+    texts = sorted(texts)
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    want = components_of(range(len(texts)), [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])])
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, line string")
+    keys = [frame.select(F.lit(1).cast("long").alias("key"), "id"), frame.select((F.col("id") + 2).alias("key"), "id")]
+    got = common.linked(keys, lambda ids: frame.join(ids, "id", "left_semi").select("id", F.col("line").alias("grams")), 0.8, 4, lambda line: F.array_distinct(lines.shingles(line)), lines.signed(frame).select("id", "n", "odd")).collect()
+    assert {**{i: i for i in want}, **{r.node: r.comp for r in got}} == want and len(set(want.values())) > 8
+
+
 def test_short_lines_take_part(spark):
     frame = spark.createDataFrame([(1, "yes\nno"), (2, "Yes \nmaybe"), (3, "abcd\nabce")], "doc_id long, text string")
     assert {r.doc_id: r.removed for r in lines.removals(frame).collect()} == {2: [0]}
