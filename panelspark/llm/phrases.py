@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import discard, may_contain, member_bits, written
+from .common import discard, filter_bits, may_contain, member_bits, written
 
 LEAST = 10
 #: A phrase goes if a longer one that holds it has this share of its occurrences, in percent.
@@ -157,10 +157,11 @@ def _counted(pairs: DataFrame) -> DataFrame:
 
 
 def _named(blocks: DataFrame, frequent: DataFrame, by: list[str]) -> DataFrame:
-    """``(at, code, name)`` of the frequent ones in each block; bits of a fixed size drop most others before the join."""
-    bits = member_bits(frequent.select(F.xxhash64(*by).alias("h")), "h")
+    """``(at, code, name)`` of the frequent ones in each block; bits, more for more frequent ones, drop most others before the join."""
+    size = filter_bits(frequent.count())
+    bits = member_bits(frequent.select(F.xxhash64(*by).alias("h")), "h", size)
     rows = blocks.where("code is not null").select(F.col("block").alias("at"), "code", *by)
-    return rows.where(may_contain(bits, F.xxhash64(*by))).join(frequent.select("name", *by), by).select("at", "code", "name")
+    return rows.where(may_contain(bits, F.xxhash64(*by), size)).join(frequent.select("name", *by), by).select("at", "code", "name")
 
 
 def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:

@@ -153,6 +153,14 @@ def test_a_mixed_bucket_with_bounds_equals_all_pairs(spark, monkeypatch, through
     assert {**{i: i for i in want}, **{r.node: r.comp for r in got}} == want and len(set(want.values())) > 8
 
 
+def test_a_filter_of_many_members_still_tells_others_apart(spark):
+    size = common.filter_bits(1_000_000)
+    bits = common.member_bits(spark.range(1_000_000), "id", size)
+    passed = spark.range(1_100_000).where(common.may_contain(bits, F.col("id"), size)).agg(F.count("*"), F.count(F.when(F.col("id") < 1_000_000, 1))).first()
+    assert passed[1] == 1_000_000 and passed[0] - passed[1] < 7_000
+    assert common.filter_bits(0) == common.FILTER_BITS and common.filter_bits(10**9) == common.MOST_BITS
+
+
 def test_short_lines_take_part(spark):
     frame = spark.createDataFrame([(1, "yes\nno"), (2, "Yes \nmaybe"), (3, "abcd\nabce")], "doc_id long, text string")
     assert {r.doc_id: r.removed for r in lines.removals(frame).collect()} == {2: [0]}
