@@ -189,3 +189,22 @@ def test_walks_take_each_step_once_and_find_the_way_of_the_step_table(spark, mon
             lo, hi, total = ways[at[start, walk, step - 1]][node]
             x = int(hashlib.md5(f"{start}:{walk}:{step}".encode()).hexdigest()[:12], 16) / (1 << 48) * total
             assert lo <= x < hi
+
+
+def test_candidate_graph_equals_sql_where_embeddings_are_near_copies_or_missing(spark, sf_dir, tmp_path):
+    import duckdb
+    import numpy as np
+    from panelspark.plans.catalog import QUERIES, SQL
+
+    rows = {r.vec_id: list(r.embedding) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    rnd = np.random.default_rng(1)
+    near = {i: rows[i - i % 8] if i % 8 == 0 else [float(x) for x in np.array(rows[i - i % 8]) + rnd.normal(0, 0.01, 64)] for i in rows}
+    near = [(i + (i % 11 == 5) * 10_000, v) for i, v in near.items()]
+    spark.createDataFrame(near, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    for name in ("customer", "supplier", "part", "orders", "lineitem"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+        duck.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = sorted(map(tuple, QUERIES["candidate_graph"](spark, str(tmp_path)).collect()))
+    assert got == sorted(duck.execute(SQL["candidate_graph"]).fetchall()) and any(r[1] == "similar_paper" for r in got)
