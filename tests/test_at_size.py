@@ -141,3 +141,19 @@ def test_pair_tfidf_makes_no_row_of_a_pairs_term(spark):
     rows = {(r.paper_id, r.reviewer_id): r.cosine for r in cosine.collect()}
     assert len(rows) == 49 and rows[0, 3] > rows[0, 1] > 0 == rows[6, 0] == rows[0, 6] == rows[0, 7]
     assert {r.paper_id for r in best.collect()} == set(range(6))
+
+
+@pytest.mark.parametrize("at_once", [65_536, 60])
+def test_ranking_quality_by_k_takes_every_embedding_as_a_paper(spark, tmp_path, monkeypatch, at_once):
+    import duckdb
+
+    monkeypatch.setattr(C, "AT_ONCE", at_once)
+    rnd = random.Random(11)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(4)], i % 7) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = {r[0]: r[1:] for r in duck.execute(C.SQL["ranking_quality_by_k"]).fetchall()}
+    got = {r[0]: tuple(r)[1:] for r in C.QUERIES["ranking_quality_by_k"](spark, str(tmp_path)).collect()}
+    assert {r[0] for r in got.values()} == {200} and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
