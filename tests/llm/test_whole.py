@@ -273,3 +273,25 @@ def test_the_chance_bound_holds_the_poisson_tail(spark):
         assert r.b >= tail - 1e-12, r
         if r.k < 20 and r.k - 1 > 2 * mean and tail > 1e-9:
             assert r.b <= 2.5 * tail, r
+
+
+def test_line_signatures_leave_the_disks_before_lines_are_compared(spark, monkeypatch):
+    made, there = [], []
+    real, found = lines.bucketed, common.components
+
+    def bucketed(df, by):
+        made.append(real(df, by))
+        return made[-1]
+
+    def components(edges):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folders[1])
+        there.append(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path))
+        return found(edges)
+
+    folders = []
+    monkeypatch.setattr(lines, "bucketed", lambda df, by: (out := bucketed(df, by), folders.append(out.inputFiles()[0].rsplit("/", 1)[0]))[0])
+    monkeypatch.setattr(common, "components", components)
+    rows = [(i, f"a line that is much alike the others of this text {i % 3}\nown words of the text number {i} alone") for i in range(9)]
+    got = lines.removals(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(folders) == 2 and there and not any(there)
+    assert {r.doc_id for r in got} >= set(range(1, 9))
