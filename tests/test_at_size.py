@@ -157,3 +157,29 @@ def test_ranking_quality_by_k_takes_every_embedding_as_a_paper(spark, tmp_path,
     got = {r[0]: tuple(r)[1:] for r in C.QUERIES["ranking_quality_by_k"](spark, str(tmp_path)).collect()}
     assert {r[0] for r in got.values()} == {200} and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+def test_bm25_and_tfidf_in_blocks_equal_the_plain_joins_and_make_no_row_of_a_word(spark, monkeypatch):
+    from panelspark.functions import text as T
+    from panelspark.operators import knowledge as K
+    from panelspark.operators import wordsearch as B
+
+    monkeypatch.setattr(B, "QUERIES", 7)
+    monkeypatch.setattr(B, "CELLS", 60)
+    rnd = random.Random(6)
+    some = lambda n: " ".join(f"Word{int(rnd.random() ** 3 * 40)}" for _ in range(rnd.randrange(n)))
+    docs = spark.createDataFrame([(None if i % 31 == 0 else i % 100, None if i % 29 == 0 else some(20)) for i in range(120)] + [(i, "word1 Word2 same") for i in range(100, 112)], "id long, text string").repartition(3)
+    queries = spark.createDataFrame([(None if i == 5 else i, some(9)) for i in range(17)] + [(3, "word7 same"), (40, "same"), (41, "")], "id long, text string")
+    rows = lambda df: sorted((r.paper_id or -1, r["rank"], r.reviewer_id, round(r.score, 9)) for r in df.collect())
+    best = lambda s: s.withColumn("rank", S.rank_by(F.col("score"), F.col("reviewer_id"), by=["paper_id"])).where("rank <= 4")
+    words = T.tokens(F.col("text"), "[a-z0-9]+", distinct=False)
+    got, want = B.bm25_top_k(docs, queries, "[a-z0-9]+", 4), rows(best(K.bm25(K.term_counts(docs, words), K.term_counts(queries, words))))
+    assert len(want) > 50 and rows(got) == want and "Join" not in _plan(got)
+    docs, queries = docs.where("id is not null"), queries.where("id is not null")  # the plain form counts those without an id as one more, the SQL doesn't
+    named = lambda df, letter: df.select(F.concat(F.lit(letter), "id").alias("id"), "text")
+    w = K.tfidf(K.term_counts(named(docs, "d").unionByName(named(queries, "b")), words))
+    plain = best(K.sparse_cosine(w.where(F.col("id").startswith("b")), w.where(F.col("id").startswith("d"))))
+    text = lambda df: sorted((r.paper_id, r["rank"], r.reviewer_id, round(r.score, 9)) for r in df.collect())
+    found = B.tfidf_top_k(docs, queries, "[a-z0-9]+", 4, ("b", "d"))
+    assert text(found) == text(plain) and "Join" not in _plan(found)
+    assert B.bm25_top_k(docs.limit(0), queries, "a", 3).count() == B.tfidf_top_k(docs, queries.limit(0), "a", 3, ("b", "d")).count() == 0
