@@ -183,3 +183,17 @@ def test_bm25_and_tfidf_in_blocks_equal_the_plain_joins_and_make_no_row_of_a_wor
     found = B.tfidf_top_k(docs, queries, "[a-z0-9]+", 4, ("b", "d"))
     assert text(found) == text(plain) and "Join" not in _plan(found)
     assert B.bm25_top_k(docs.limit(0), queries, "a", 3).count() == B.tfidf_top_k(docs, queries.limit(0), "a", 3, ("b", "d")).count() == 0
+
+
+def test_similar_texts_of_many_sides_meet_in_rounds(spark, monkeypatch):
+    from panelspark.operators import similar as N
+
+    monkeypatch.setattr(N, "BLOCK", 5)
+    monkeypatch.setattr(N, "SIDE", 5)
+    docs = spark.createDataFrame([(i, f"words alike{i % 9} here{i % 9}") for i in range(60)], "id long, text string")
+    some, whole = N.similar_texts(docs, "[a-z0-9]{4,}", 0.8), None
+    assert "FlatMapGroupsInArrow" not in _plan(some)  # the rounds are tables
+    monkeypatch.setattr(N, "SIDES", 100)
+    whole = N.similar_texts(docs, "[a-z0-9]{4,}", 0.8)
+    assert "FlatMapGroupsInArrow" in _plan(whole) and sorted(map(tuple, some.select("a", "b").collect())) == sorted(map(tuple, whole.select("a", "b").collect()))
+    assert some.count() > 100
