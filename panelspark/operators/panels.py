@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scores as S
+from ..llm.common import bucketed
 
 
 @dataclass(frozen=True)
@@ -186,7 +187,8 @@ def peers(panels: DataFrame, ranked: DataFrame, most: int = 2) -> DataFrame:
     first = below.withColumn("n", F.row_number().over(Window.partitionBy("paper_id", "slot").orderBy("place"))).where(F.col("n") <= most)
     named = first.groupBy("paper_id", "slot").agg(F.transform(F.sort_array(F.collect_list(F.struct("n", "peer"))), lambda x: x["peer"]).alias("peers"))
     none = F.array().cast(f"array<{dict(ranked.dtypes)['reviewer_id']}>")
-    out = pick.select("paper_id", "slot", F.col("picked").alias("reviewer_id")).join(n, ["paper_id", "slot"], "left").join(named, ["paper_id", "slot"], "left")
+    out = pick.select("paper_id", "slot", F.col("picked").alias("reviewer_id"))
+    out = _on_paper(_on_paper(out, n, ["slot"], "left"), named, ["slot"], "left")
     return out.withColumns({"outranked": F.coalesce("outranked", F.lit(0).cast("long")), "peers": F.coalesce("peers", none)})
 
 
@@ -199,14 +201,26 @@ def weakness(role: Column, sim: Column, authority: Column, kg: Column, citations
     return F.when(role == "expert", expert).when(role == "moderate", moderate).otherwise(other)
 
 
+def _on_paper(a: DataFrame, b: DataFrame, also: list[str], how: str = "inner") -> DataFrame:
+    """``a`` joined with ``b`` on the paper and ``also``; only the paper is a key of the join, so rows that lie by the paper stay where they are."""
+    names = {c: f"__{c}" for c in ["paper_id", *also]}
+    b = b.withColumnsRenamed(names)
+    same = F.col("paper_id") == F.col("__paper_id")
+    for c in also:
+        same = same & F.array_contains(F.array(F.col(c)), F.col(names[c]))
+    return a.join(b, same, how).drop(*names.values())
+
+
 def assign_panels(ranked: DataFrame, s: Panel = Panel()) -> DataFrame:  # noqa: B008
     """The panels of ranked candidates with ordered scores, peers, percentiles and weaknesses.
 
-    ``ranked`` holds what ``select_panels`` takes, and kg and citations. All joins are on the
-    paper, by which the rows are partitioned already.
+    ``ranked`` holds what ``select_panels`` takes, and kg and citations. It and the panels are
+    tables in buckets by the paper, and all joins are on the paper, so nothing is shuffled from there on.
     """
-    panels = select_panels(ranked, s)
+    many = int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranked = bucketed(ranked.repartition(many, "paper_id"), "paper_id")
+    panels = bucketed(select_panels(ranked, s), "paper_id")
     about = places(ranked).select("paper_id", "reviewer_id", "percentile", "kg", "citations")
-    out = panels.join(ordered_scores(panels, s.step), ["paper_id", "slot", "reviewer_id"]).join(about, ["paper_id", "reviewer_id"], "left")
-    out = out.join(peers(panels, ranked), ["paper_id", "slot", "reviewer_id"]).join(context(ranked), "paper_id")
+    out = _on_paper(panels, ordered_scores(panels, s.step), ["slot", "reviewer_id"])
+    out = _on_paper(_on_paper(out, about, ["reviewer_id"], "left"), peers(panels, ranked), ["slot", "reviewer_id"]).join(context(ranked), "paper_id")
     return out.withColumn("weakness", weakness(F.col("role"), F.col("sim"), F.col("authority"), F.col("kg"), F.col("citations"), F.col("avg_authority")))

@@ -197,3 +197,21 @@ def test_similar_texts_of_many_sides_meet_in_rounds(spark, monkeypatch):
     whole = N.similar_texts(docs, "[a-z0-9]{4,}", 0.8)
     assert "FlatMapGroupsInArrow" in _plan(whole) and sorted(map(tuple, some.select("a", "b").collect())) == sorted(map(tuple, whole.select("a", "b").collect()))
     assert some.count() > 100
+
+
+def test_panels_are_assigned_without_a_shuffle_after_the_rows_lie_by_paper(spark):
+    from panelspark.operators import panels as P
+
+    rnd = random.Random(8)
+    rows = [(p, r, rnd.random(), rnd.random(), rnd.choice(["expert", "moderate", "fresher"]), rnd.random(), rnd.randrange(40), rnd.random() < 0.1, rnd.choice([None, rnd.random()]), [f"n{r % 3}"], [f"n{r % 3}", f"q{p % 2}"]) for p in range(12) for r in range(9)]
+    ranked = spark.createDataFrame(rows, "paper_id long, reviewer_id long, sim double, authority double, role string, kg double, citations long, failed boolean, score double, terms array<string>, covers array<string>")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = P.assign_panels(ranked)
+        assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {(r.paper_id, r.slot): r for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    picks = {(r.paper_id, r.slot): r for r in P.select_panels(ranked).collect()}
+    assert got.keys() == picks.keys() and all(got[k].reviewer_id == picks[k].reviewer_id and got[k].role == picks[k].role for k in got) and len(got) > 20
